@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm import frequency, lookalikes, packing, percentiles, splitting
+from spandrel.llm import frequency, leakage, lookalikes, packing, percentiles, splitting
 from spandrel.session import settled, table
 
 SEGMENT = ["clip_id", "seg_idx"]
@@ -70,5 +70,19 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(lengths, "doc_id", "n_tokens", (512, 1024, 2048))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", F.col("text").alias("item_text"))
+    return leakage.leaked(docs, "doc_id", "text", items, "item_id", "item_text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Each leak with its longest run of words and where it stands in the document."""
+    return _leaks(spark, d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_percentiles, p3_daily_percentiles, p4_found, p4_terms, p6_found, p7_containers)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_percentiles, p3_daily_percentiles, p4_found, p4_terms, p6_found, p7_containers, p8_found, p8_passages)}
