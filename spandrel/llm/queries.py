@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm import frequency, leakage, lookalikes, packing, percentiles, splitting
+from spandrel.llm import frequency, language, leakage, lookalikes, packing, percentiles, splitting
 from spandrel.session import settled, table
 
 SEGMENT = ["clip_id", "seg_idx"]
@@ -84,5 +84,23 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    model = language.fitted(table(spark, d, "lang_samples"), "lang", "text")
+    return language.document_languages(table(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id", "text", model, ["lang"])
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.wrong_labels(_languages(spark, d), "doc_id", "label")
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).select("doc_id", "lang", "share", "words", "confidence")
+
+
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    model = language.fitted(table(spark, d, "lang_samples"), "lang", "text")
+    return language.language_spans(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_percentiles, p3_daily_percentiles, p4_found, p4_terms, p6_found, p7_containers, p8_found, p8_passages)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_percentiles, p3_daily_percentiles, p4_found, p4_terms, p6_found, p7_containers, p8_found, p8_passages, p9_found, p9_languages, p9_spans)}
