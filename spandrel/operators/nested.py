@@ -49,7 +49,8 @@ def parsed(payload: str | None):
         value = json.loads(payload.lstrip(IN_FRONT))
     except (ValueError, RecursionError):
         return None
-    return embedded(value) if isinstance(value, str) else value
+    value = embedded(value) if isinstance(value, str) else value
+    return value if isinstance(value, (dict, list)) else None
 
 
 def embedded(text: str):
