@@ -111,7 +111,7 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
             b = shorter if strong else b
         pieces.append((a, b))
         end = b
-        a = _word_start(text, b - overlap, b) if overlap else b
+        a = _word_start(text, max(b - overlap, a + 1), b) if overlap else b
     pieces.append((a, n))
     return pieces
 

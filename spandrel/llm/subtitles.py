@@ -18,9 +18,9 @@ NOTICES = (
     "subtítulos", "subt", "synced", "synchro", "corrected by", "quillfen subs",
 )
 _NOTICE = re.compile(r"www\b|https?:|\.example\b|\.com\b|-subs\.|\bsubtitles? (?:by|from)\b|\bcaptions? (?:at|by|on|from)\b|sous-titres|untertitel|ondertitel|\blegendas\b|sottotitol|\bnapis(?:y\b|ó|Ã³)|\bsubt\S{1,8}tulos|\bsynced\b|\bsynchro\b|\bcorrected by\b", re.I)
-INVISIBLE = {ord(c): None for c in "­​‌‍⁠﻿᠎‎‏"}
+INVISIBLE = {ord(c): None for c in "\xad\u200b\u200c\u200d\u2060\ufeff\u180e\u200e\u200f"}
 #: UTF-8 read as a single-byte encoding: a lead byte and its continuation bytes, as characters.
-GARBLED = re.compile("[Â-ô][-¿ŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]{1,3}")
+GARBLED = re.compile("[\xc2-\xf4][\x80-\xbfŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]{1,3}")
 _GARBLED_SIGNS = ("Ã", "Â", "Å", "Ä", "â€", "ï»")
 _BYTES = {chr(b): bytes([b]) for b in range(0x80, 0x100)} | {bytes([b]).decode("cp1252", "ignore"): bytes([b]) for b in range(0x80, 0x100)}
 
