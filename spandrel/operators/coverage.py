@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spandrel.operators import islands
+
+#: Length of the slices that a segment's rows are scanned in.
+PIECE_MS = 60_000.0
 SEGMENT = ["clip_id", "seg_idx"]
 
 
@@ -50,6 +54,7 @@ def longest_per_target(rows: DataFrame, keys: list[str], start: Column, end: Col
     """keys, start, end: repeated stretches of a key joined where they touch, then the longest, the earliest on ties."""
     by = Window.partitionBy(*keys).orderBy("start", "end")
     r = rows.select(*keys, start.alias("start"), end.alias("end")).where(F.col("end") > F.col("start"))
+    r = r.groupBy(*keys, "start").agg(F.max("end").alias("end"))  # repeated rows end here, before the sort
     opens = F.col("start") > F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     r = r.withColumn("_g", F.coalesce(opens.cast("int"), F.lit(1)))
     r = r.withColumn("_g", F.sum("_g").over(by.rowsBetween(Window.unboundedPreceding, 0)))
@@ -83,12 +88,9 @@ def word_spans(rows: DataFrame, keys: list[str], order: list[str], word: Column,
 
     legacy: the last word of a segment is left out if it has one phone, as in older outputs.
     """
-    own = Window.partitionBy(*keys).orderBy(*order)
-    r = rows.withColumn("_w", word).withColumn("_new", F.coalesce((~F.col("_w").eqNullSafe(F.lag("_w").over(own))).cast("int"), F.lit(1)))
-    r = r.withColumn("_new", F.when(F.row_number().over(own) == 1, 1).otherwise(F.col("_new")))
-    r = r.withColumn("run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    r = islands.numbered(rows.withColumn("_word", word), keys, F.floor(F.col("start_ms") / PIECE_MS), order, F.col("_word"))
     out = r.groupBy(*keys, "run").agg(
-        F.first("_w").alias("word"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.avg("confidence").alias("confidence"), F.count(F.lit(1)).alias("phones")
+        F.first("_word").alias("word"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.avg("confidence").alias("confidence"), F.count(F.lit(1)).alias("phones")
     )
     if legacy:
         last = F.max("run").over(Window.partitionBy(*keys))
@@ -98,13 +100,24 @@ def word_spans(rows: DataFrame, keys: list[str], order: list[str], word: Column,
 
 def confidence_report(rows: DataFrame, least: int = 60, threshold: float = 0.6) -> DataFrame:
     """Per segment: phones, ratio of weak ones, mean near the start and near the end, and whether it looks bad."""
-    own = Window.partitionBy(*SEGMENT)
-    order = [F.col("start_ms"), F.col("row_id")]
-    r = rows.withColumn("_i", F.row_number().over(own.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(own))
+    n = rows.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least)
+    r = islands.numbered(rows, SEGMENT, F.floor(F.col("start_ms") / PIECE_MS), ["start_ms", "row_id"], F.lit(0)).withColumnRenamed("idx", "_i").join(n, SEGMENT)
     early = F.when((F.col("_i") >= 10) & (F.col("_i") < 30), F.col("confidence"))
     late = F.when((F.col("_i") >= F.col("_n") - 30) & (F.col("_i") < F.col("_n") - 10), F.col("confidence"))
     out = r.groupBy(*SEGMENT).agg(
         F.count(F.lit(1)).alias("phones"), F.avg((F.col("confidence") < 0.5).cast("double")).alias("weak"), F.avg(early).alias("early"), F.avg(late).alias("late")
-    ).where(F.col("phones") > least)
+    )
     bad = (F.col("weak") > threshold) | ((F.col("early") > 0.1) & (F.col("late") < 0.1))
     return out.withColumn("bad", bad)
+
+
+def label_index(rows: DataFrame, label: str, known: DataFrame) -> DataFrame:
+    """label, n, known: how often each label occurs and whether it is one of the known ones."""
+    counts = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    names = known.select(F.col(known.columns[0]).alias("label"), F.lit(True).alias("_k")).distinct()
+    return counts.join(names, "label", "left").select("label", "n", F.coalesce("_k", F.lit(False)).alias("known"))
+
+
+def duplicate_labels(table: DataFrame, label: str, group: str) -> DataFrame:
+    """group, n, spellings: rows and distinct labels of each group; they differ where a label is repeated."""
+    return table.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("spellings"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spandrel.config import AlignConfig
@@ -333,8 +333,8 @@ def missing_gap_fill(spark, d):
 @query
 def sequence_match(spark, d):
     """Whether the aligned ids are the targets, by comparing position by position."""
-    own = F.row_number().over(Window.partitionBy(*SEGMENT).orderBy("start_ms", "row_id")) - 1
-    a = _phonemes(spark, d).where(VALID).select(*SEGMENT, F.col("phoneme_id").alias("got"), own.alias("target_idx"))
+    a = islands.numbered(_phonemes(spark, d).where(VALID), SEGMENT, F.floor(F.col("start_ms") / coverage.PIECE_MS), ["start_ms", "row_id"], F.lit(0))
+    a = a.select(*SEGMENT, F.col("phoneme_id").alias("got"), F.col("idx").cast("int").alias("target_idx"))
     t = coverage.targets(_segments(spark, d)).select(*SEGMENT, "target_idx", F.col("phoneme_id").alias("want"))
     j = t.join(a, [*SEGMENT, "target_idx"], "full_outer")
     return j.groupBy(*SEGMENT).agg(F.min(F.col("got").eqNullSafe(F.col("want")).cast("int")).alias("same"))
@@ -436,6 +436,45 @@ def textgrid_labels(spark, d):
     return p.select("row_id", sinks.interval_label(F.col("phoneme_label"), F.col("confidence")).alias("text"), sinks.confidence_band(F.col("confidence")).alias("band"))
 
 
+@query
+def annotation_table(spark, d):
+    """What a plot of a segment draws: boundary frames of 16 ms, labels and colour bands."""
+    p = _phonemes(spark, d).where(VALID).where("confidence BETWEEN 0 AND 1").withColumnRenamed("phoneme_label", "label")
+    return sinks.annotations(p, ["row_id"], 16.0).select("row_id", "frame", "label", "band")
+
+
+@query
+def silence_match(spark, d):
+    """Pauses of a text, by their places among its tokens, with the day's quiet stretches of a user; in order, each the nearest."""
+    quiet = islands.silent_runs(_quiet(spark, d), ["user_id"], "idx", F.col("p"), 5, 0.5)
+    n = _events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = F.transform(F.sequence(F.lit(1), F.lit(9), F.lit(2)), lambda k: F.struct(k.alias("start"), (k + 1).alias("end")))
+    q = quiet.join(n, "user_id").withColumn("pos", (F.col("start_idx") + F.col("end_idx")) / 2 / F.col("n"))
+    q = q.withColumn("near", F.round("pos", 1)).groupBy("user_id", "near").agg(F.min_by(F.struct("start_idx", "end_idx", "n"), "start_idx").alias("s"))
+    q = q.groupBy("user_id").agg(F.array_sort(F.collect_list("s")).alias("silences"), F.first("s.n").alias("n"))
+    return decoding.match_silences(q.withColumn("groups", groups), ["user_id"], "groups", "silences", F.lit(11), F.col("n"))
+
+
+@query
+def label_maintenance(spark, d):
+    """Labels by falling frequency, whether the alphabet has them, and their place in a new index."""
+    return coverage.label_index(_phonemes(spark, d), "phoneme_label", table(spark, d, "alphabet").select("phoneme_label"))
+
+
+@query
+def label_duplicates(spark, d):
+    """Labels of each sound group against its distinct spellings."""
+    return coverage.duplicate_labels(table(spark, d, "alphabet"), "ipa_label", "group_id")
+
+
+@query
+def collapse_labels(spark, d):
+    """Labels that are in no alphabet, collapsed to one phone."""
+    known = F.array(*(F.lit(r.phoneme_label) for r in table(spark, d, "alphabet").select("phoneme_label").orderBy("phoneme_id").limit(10_000).collect()))
+    p = _phonemes(spark, d).where("ipa_label IS NOT NULL").select("ipa_label").distinct()
+    return p.where(~F.array_contains(known, F.col("ipa_label"))).select("ipa_label", text.collapsed(F.col("ipa_label"), known).alias("phone"))
+
+
 # --- texts
 
 

@@ -237,3 +237,16 @@ SELECT ipa_label, "left", "right", score FROM s QUALIFY row_number() OVER (PARTI
 SQL["ctc_paths"] = f"""
 WITH {_FRAMES} SELECT seg, s::INT AS pos, (CASE WHEN s % 4 = 1 THEN tg[s // 4 + 1] ELSE 63 END)::INT AS label, 0::BIGINT AS band FROM targets, (SELECT unnest(range(0, 33)) AS s)"""
 SQL["frame_count_rule"] = SQL["frame_count_rule"].replace("7 * (5 * (3 * 4 + 6) + 10) + 15 - 7 * 0 - 0 AS field_", "((((5 - 1) * 3 + 7) - 1) * 5 + 11 - 1) * 7 + 15 AS field")
+
+SQL["annotation_table"] = f"""
+SELECT row_id, floor(start_ms / 16)::BIGINT AS frame, phoneme_label AS label, CASE WHEN confidence > 0.9 THEN 'high' WHEN confidence > 0.6 THEN 'good' WHEN confidence > 0.1 THEN 'weak' ELSE 'poor' END AS band
+FROM phoneme_ts WHERE {_V} AND confidence BETWEEN 0 AND 1"""
+SQL["label_maintenance"] = """
+WITH c AS (SELECT phoneme_label AS label, count(*) AS n FROM phoneme_ts WHERE phoneme_label IS NOT NULL GROUP BY 1)
+SELECT label, n, label IN (SELECT phoneme_label FROM alphabet) AS known FROM c"""
+SQL["label_duplicates"] = "SELECT group_id, count(*) AS n, count(DISTINCT ipa_label) AS spellings FROM alphabet GROUP BY group_id"
+SQL["collapse_labels"] = """
+WITH l AS (SELECT DISTINCT ipa_label FROM phoneme_ts WHERE ipa_label IS NOT NULL AND ipa_label NOT IN (SELECT phoneme_label FROM alphabet)),
+b AS (SELECT ipa_label, regexp_replace(ipa_label, '[:ː]', '', 'g') AS base FROM l)
+SELECT ipa_label, CASE WHEN regexp_matches(ipa_label, '[rɹɚ]') THEN 'ɚ' WHEN regexp_matches(ipa_label, '[:ː]') AND base IN (SELECT phoneme_label FROM alphabet) THEN base
+  WHEN contains(ipa_label, 'ə') THEN 'ə' WHEN substring(ipa_label, 1, 1) IN (SELECT phoneme_label FROM alphabet) THEN substring(ipa_label, 1, 1) ELSE 'noise' END AS phone FROM b"""
