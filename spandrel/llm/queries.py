@@ -44,7 +44,8 @@ def p3_daily_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
-    return frequency.marked_terms(frequency.term_counts(table(spark, d, "phoneme_ts"), LABELS, SEGMENT), LABELS)
+    counts = settled(frequency.term_counts(table(spark, d, "phoneme_ts"), LABELS, SEGMENT))  # read for the terms and for their total
+    return frequency.marked_terms(counts, LABELS)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
