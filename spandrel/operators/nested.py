@@ -122,9 +122,9 @@ KINDS = {dict: "object", list: "array", bool: "boolean", int: "bigint", float: "
 
 
 def merged_schema(df: DataFrame, payload: str) -> DataFrame:
-    """path STRING, kinds ARRAY<STRING>, records BIGINT: the merged schema of all payloads, one row for each path.
+    """path STRING, steps ARRAY<STRING>, kinds ARRAY<STRING>, records BIGINT: the merged schema of all payloads, one row for each path.
 
-    An array's elements stand under the same path followed by ``[]``.  A path of several kinds is a
+    steps are the path's keys, path the same for reading.  An array's elements stand under its path followed by ``[]``.  A path of several kinds is a
     conflict that ``shred`` resolves (array over object over scalar).  Tasks merge their own records
     first; what is shuffled has one row for each path and task.
     """
@@ -137,16 +137,16 @@ def merged_schema(df: DataFrame, payload: str) -> DataFrame:
                 if value is not None:
                     _note(value, root, record)
                     record += 1
-        rows, stack = [], [("$", root)] if record else []
+        rows, stack = [], [(["$"], root)] if record else []
         while stack:
-            path, node = stack.pop()
-            rows.append((path, sorted(KINDS[k] for k in node.kinds if k in KINDS), node.records))
-            stack.extend((f"{path}.{k}", n) for k, n in node.under.items())
+            steps, node = stack.pop()
+            rows.append((steps, sorted(KINDS[k] for k in node.kinds if k in KINDS), node.records))
+            stack.extend(([*steps, k], n) for k, n in node.under.items())
         yield batch([list(c) for c in zip(*rows)] or [[], [], []], schema)
 
-    parts = map_arrow(df.select(payload), run, "path STRING, kinds ARRAY<STRING>, records BIGINT")
-    merged = parts.groupBy("path").agg(F.flatten(F.collect_set("kinds")).alias("kinds"), F.sum("records").alias("records"))
-    return merged.select("path", F.array_sort(F.array_distinct("kinds")).alias("kinds"), "records")
+    parts = map_arrow(df.select(payload), run, "steps ARRAY<STRING>, kinds ARRAY<STRING>, records BIGINT")
+    merged = parts.groupBy("steps").agg(F.flatten(F.collect_set("kinds")).alias("kinds"), F.sum("records").alias("records"))
+    return merged.select(F.array_join("steps", ".").alias("path"), "steps", F.array_sort(F.array_distinct("kinds")).alias("kinds"), "records")
 
 
 class _Walk:
@@ -283,10 +283,10 @@ def array_levels(schema: DataFrame) -> dict[str, bool]:
     The driver gets the paths of arrays, not records; producers' array paths are few, and a schema of
     more than 10,000 of them is refused rather than cut.
     """
-    paths = [r.path for r in schema.where(F.array_contains("kinds", "array")).select("path").limit(10_001).collect()]
+    paths = [r.steps for r in schema.where(F.array_contains("kinds", "array")).select("steps").limit(10_001).collect()]
     if len(paths) > 10_000:
         raise ValueError("more than 10,000 array paths: the payload's keys are data, not a schema")
-    steps = [[k for k in p.split(".") if k not in ("$", "[]")] for p in paths]
+    steps = [[k for k in p[1:] if k != "[]"] for p in paths]
     names = {s[-1] for s in steps if s}
     above = {k for s in steps for k in s[:-1]}
     return {n: n not in above for n in sorted(names)}

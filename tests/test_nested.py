@@ -60,3 +60,11 @@ def test_empty(spark, rows):
 def test_deep_nesting_is_refused_not_fatal(spark, rows):
     deep = "[" * 100_000 + "]" * 100_000
     assert rows(N.shred(frame(spark, [deep]), "record_id", "payload", {"a": True})) == []
+
+
+def test_keys_with_dots(spark, rows):
+    df = frame(spark, [json.dumps({"a.b": [{"c.d": ["x", "y"]}, {"c.d": "z"}]})])
+    levels = N.array_levels(N.merged_schema(df, "payload"))
+    assert levels == {"a.b": False, "c.d": True}
+    s = N.shred(df, "record_id", "payload", levels, ["c.d"])
+    assert rows(s.select("parent_pos", "ord", "pos", "item")) == [(0, 0, 0, "x"), (0, 1, 1, "y"), (1, 0, 2, "z")]
