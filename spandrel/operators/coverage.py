@@ -101,7 +101,7 @@ def word_spans(rows: DataFrame, keys: list[str], order: list[str], word: Column,
 def confidence_report(rows: DataFrame, least: int = 60, threshold: float = 0.6) -> DataFrame:
     """Per segment: phones, ratio of weak ones, mean near the start and near the end, and whether it looks bad."""
     n = rows.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least)
-    r = islands.numbered(rows, SEGMENT, F.floor(F.col("start_ms") / PIECE_MS), ["start_ms", "row_id"], F.lit(0)).withColumnRenamed("idx", "_i").join(n, SEGMENT)
+    r = islands.indexed(rows, SEGMENT, F.floor(F.col("start_ms") / PIECE_MS), ["start_ms", "row_id"]).withColumnRenamed("idx", "_i").join(n, SEGMENT)
     early = F.when((F.col("_i") >= 10) & (F.col("_i") < 30), F.col("confidence"))
     late = F.when((F.col("_i") >= F.col("_n") - 30) & (F.col("_i") < F.col("_n") - 10), F.col("confidence"))
     out = r.groupBy(*SEGMENT).agg(

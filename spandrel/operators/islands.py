@@ -32,6 +32,20 @@ def numbered(df: DataFrame, keys: list[str], piece: Column, order: list, value:
     return joined.select(*(d[c] for c in df.columns), (F.col("_idx0") + F.col("_n") - 1).alias("idx"), (F.col("_run0") + F.col("_c")).alias("run"))
 
 
+def indexed(df: DataFrame, keys: list[str], piece: Column, order: list) -> DataFrame:
+    """df with idx, the place in the sequence from 0; slices are only counted before they are numbered."""
+    d = df.withColumn("_slice", piece)
+    s = d.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_slice").alias("_s"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_idx0"))
+    on = d["_slice"].eqNullSafe(s["_s"])
+    for i, k in enumerate(keys):
+        on = on & d[k].eqNullSafe(s[f"_k{i}"])
+    own = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    numbers = d.withColumn("_n", F.row_number().over(own))
+    return numbers.join(s, on).select(*(numbers[c] for c in df.columns), (F.col("_idx0") + F.col("_n") - 1).alias("idx"))
+
+
 def run_table(df: DataFrame, keys: list[str], piece: Column, order: list, value: Column) -> DataFrame:
     """keys, run, value, first_idx, n: run-length encoding of each sequence."""
     return numbered(df, keys, piece, order, value).withColumn("value", value).groupBy(*keys, "run").agg(F.first("value").alias("value"), F.min("idx").alias("first_idx"), F.count(F.lit(1)).alias("n"))
@@ -44,7 +58,7 @@ def expanded_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
 
 def hopping(df: DataFrame, keys: list[str], piece: Column, order: list, size: int, stride: int) -> DataFrame:
     """Each row of a sequence once for each complete window of size rows that it is in, as column w."""
-    d = numbered(df, keys, piece, order, F.lit(0)).drop("run")
+    d = indexed(df, keys, piece, order)
     last = d.groupBy(*keys).agg(F.max("idx").alias("_last"))
     first = F.greatest(F.lit(0), F.ceil((F.col("idx") - (size - 1)) / stride)).cast("bigint")
     w = d.join(last, keys).withColumn("_top", F.least(F.floor(F.col("idx") / stride), F.floor((F.col("_last") + 1 - size) / stride)))

@@ -13,7 +13,7 @@ from spandrel.operators import coverage, decoding, frames, islands, raster, sign
 from spandrel.plans.catalogue_sql import SQL
 from spandrel.sources import models, presets, sinks, transcripts
 from spandrel.streaming import sessions
-from spandrel.session import table
+from spandrel.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,7 +197,7 @@ def rms_normalise(spark, d):
 
 
 def _quiet(spark, d):
-    n = islands.numbered(_events(spark, d), ["user_id"], F.to_date("ts"), ["ts", "event_id"], F.lit(0))
+    n = islands.indexed(_events(spark, d), ["user_id"], F.to_date("ts"), ["ts", "event_id"])
     return n.select("user_id", "idx", F.exp(-F.col("value") / 50).alias("p"))
 
 
@@ -333,7 +333,7 @@ def missing_gap_fill(spark, d):
 @query
 def sequence_match(spark, d):
     """Whether the aligned ids are the targets, by comparing position by position."""
-    a = islands.numbered(_phonemes(spark, d).where(VALID), SEGMENT, F.floor(F.col("start_ms") / coverage.PIECE_MS), ["start_ms", "row_id"], F.lit(0))
+    a = islands.indexed(_phonemes(spark, d).where(VALID), SEGMENT, F.floor(F.col("start_ms") / coverage.PIECE_MS), ["start_ms", "row_id"])
     a = a.select(*SEGMENT, F.col("phoneme_id").alias("got"), F.col("idx").cast("int").alias("target_idx"))
     t = coverage.targets(_segments(spark, d)).select(*SEGMENT, "target_idx", F.col("phoneme_id").alias("want"))
     j = t.join(a, [*SEGMENT, "target_idx"], "full_outer")
@@ -499,7 +499,7 @@ def tokenise_spaced(spark, d):
 
 @query
 def vocab_stats(spark, d):
-    docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.explode(text.words_alpha(F.col("text"))).alias("token"))
+    docs = spread(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text"), "doc_id").select(F.explode(text.words_alpha(F.col("text"))).alias("token"))
     return text.vocabulary_stats(docs, "token")
 
 

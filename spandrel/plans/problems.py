@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spandrel.operators import intervals, nested
-from spandrel.session import table
+from spandrel.session import spread, table
 
 SEGMENT = ["clip_id", "seg_idx"]
 #: The child tables of a segment, and which scalar stands for an element that is an object.
@@ -29,7 +29,7 @@ def p1_periods(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, bool]]:
-    df = table(spark, d, "vs_records")
+    df = spread(table(spark, d, "vs_records").select("record_id", "payload"), "record_id")
     return df, nested.array_levels(nested.merged_schema(df, "payload"))
 
 
@@ -56,7 +56,7 @@ def p5_phonemes(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_schema(spark: SparkSession, d: str) -> DataFrame:
     """The merged schema, kinds as text."""
-    return nested.merged_schema(table(spark, d, "vs_records"), "payload").select("path", F.array_join("kinds", ",").alias("kinds"), "records")
+    return nested.merged_schema(spread(table(spark, d, "vs_records").select("record_id", "payload"), "record_id"), "payload").select("path", F.array_join("kinds", ",").alias("kinds"), "records")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -38,3 +38,13 @@ def settled(df: DataFrame) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spandrel-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The frame over at least as many tasks as there are cores, for work that costs far more than a shuffle.
+
+    Large tables are scanned by more tasks than that already and stay as they are; only a table in a
+    few files, smaller than the cluster, is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
