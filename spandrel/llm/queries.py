@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spandrel.llm import frequency, language, leakage, lookalikes, packing, percentiles, splitting
-from spandrel.session import settled, table
+from spandrel.session import settled, spread, table
 
 SEGMENT = ["clip_id", "seg_idx"]
 LABELS = ["ipa_label", "phoneme_label"]
@@ -16,6 +16,10 @@ LABELS = ["ipa_label", "phoneme_label"]
 AT = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
 
+def _documents(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", *more, "text"), "doc_id")
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "segments"), "seg_uid", "text", F.col("start_s"), F.col("end_s"))
 
@@ -67,12 +71,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """Container and place of every piece of every document; containers hold 2,048 tokens."""
-    lengths = settled(packing.token_lengths(table(spark, d, "documents"), "doc_id", "text"))
+    lengths = settled(packing.token_lengths(_documents(spark, d), "doc_id", "text"))
     return packing.pack(lengths, "doc_id", "n_tokens", (512, 1024, 2048))
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", F.col("text").alias("item_text"))
+    docs, items = _documents(spark, d), table(spark, d, "eval_items").select("item_id", F.col("text").alias("item_text"))
     return leakage.leaked(docs, "doc_id", "text", items, "item_id", "item_text")
 
 
@@ -87,7 +91,7 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     model = language.fitted(table(spark, d, "lang_samples"), "lang", "text")
-    return language.document_languages(table(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id", "text", model, ["lang"])
+    return language.document_languages(_documents(spark, d, "lang"), "doc_id", "text", model, ["lang"])
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +104,7 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     model = language.fitted(table(spark, d, "lang_samples"), "lang", "text")
-    return language.language_spans(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", model)
+    return language.language_spans(_documents(spark, d), "doc_id", "text", model)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
