@@ -3,7 +3,8 @@
 Variable-capacity best fit: items of a shard are placed in falling order of length, each into the
 open container with the least room that still takes it.  If there is none, a container is opened of
 the size of least cost, where the cost of a size is what it takes to hold all that is still to be
-placed: its capacity times the number needed.  At the end each container is downsized to the
+placed: the number needed, times its capacity and OPENING tokens that any container costs.  So the
+largest size is opened as long as much is left, and smaller ones for the rest.  At the end each container is downsized to the
 smallest permitted capacity that holds its contents.  With one permitted capacity this is best fit
 decreasing.
 
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 
 from spandrel.functions.arrow import batch, map_arrow
 
+#: What a container costs besides its capacity, in tokens.
+OPENING = 64
 #: Items of a shard, on average.
 SHARD = 8_192
 #: Shards whose unfilled containers are placed once more together.
@@ -106,7 +109,7 @@ def best_fit(sizes: Sequence[int], capacities: Sequence[int]) -> list[tuple[int,
         if at < len(room):
             free, b = room.pop(at)
         else:
-            free = min((c for c in capacities if c >= need), key=lambda c: (-(-left // c) * c, -c))
+            free = min((c for c in capacities if c >= need), key=lambda c: (-(-left // c) * (c + OPENING), -c))
             b = len(bins)
             bins.append((free, []))
             used.append(0)
