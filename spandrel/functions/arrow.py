@@ -4,12 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import os
+import tempfile
+import zipfile
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for a session, so that it needs no installation there."""
+    context = spark.sparkContext
+    if getattr(context, "_spandrel_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(root):  # else it came to this process in the same way
+        path = os.path.join(tempfile.mkdtemp(prefix="spandrel-"), "spandrel.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, files in sorted(os.walk(root)):
+                for f in sorted(files):
+                    if f.endswith(".py"):
+                        full = os.path.join(folder, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        context.addPyFile(path)
+    context._spandrel_shipped = True
+
+
 def schema_of(ddl: str) -> T.StructType:
     """A StructType from a DDL string, without a session."""
     return T.StructType.fromDDL(ddl) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(ddl)
@@ -23,6 +45,7 @@ def batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch], pa.Schema], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
     """df.mapInArrow(fn) where fn also gets the Arrow schema it has to return."""
+    ship(df.sparkSession)
     spark_schema = schema_of(ddl)
     out = to_arrow_schema(spark_schema)
 
