@@ -55,6 +55,13 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch], pa.Schema],
     return df.mapInArrow(run, spark_schema)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows, where a row may be large and becomes Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def combined(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One contiguous array."""
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

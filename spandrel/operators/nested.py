@@ -15,7 +15,7 @@ into a child table.  Both read JSON held as text.
 Row keys are paths such as ``segments/3/phoneme_ts/17``: unique in their record, the same in every
 run, made without any coordination between tasks.
 
-Defined results: null, empty and incomplete payloads and payloads with trailing text give no rows;
+Defined results: halves of surrogate pairs become question marks.  Null, empty and incomplete payloads and payloads with trailing text give no rows;
 invisible characters and a byte order mark in front are skipped.  Repeated record ids give repeated
 rows.  Keys beyond the schema are ignored by ``shred`` and found by ``merged_schema``.
 """
@@ -23,13 +23,14 @@ rows.  Keys beyond the schema are ignored by ``shred`` and found by ``merged_sch
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.functions.arrow import batch, map_arrow
+from spandrel.functions.arrow import batch, map_arrow, parts
 
 #: Characters that may stand in front of a payload: white space and what shows nothing.
 IN_FRONT = "﻿​‌‍⁠­ ᠎‎‏ \t\r\n\x00"
@@ -37,6 +38,8 @@ IN_FRONT = "﻿​‌‍⁠­ ᠎‎‏ \t\r\n\x00"
 JSON_HEADS = frozenset('[{"') | frozenset(IN_FRONT) - {" "}
 #: The table that a record's outermost values belong to.
 ROOT = ""
+#: Levels of nesting that a walk may go down; what the JSON parser takes is less.
+DEEPEST = 100_000
 #: Rows of a batch that a task returns.
 ROWS_AT_ONCE = 65_536
 
@@ -65,6 +68,20 @@ def embedded(text: str):
     return text
 
 
+def _whole(value):
+    """The value with a question mark for each half of a character, as JSON can name such and UTF-8 can't."""
+    if isinstance(value, str):
+        return value.encode("utf-8", "replace").decode("utf-8")
+    return type(value)(map(_whole, value)) if isinstance(value, (list, tuple)) else value
+
+
+def _encoded(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    try:
+        return batch(columns, schema)
+    except UnicodeEncodeError:
+        return batch([c if isinstance(c, pa.Array) else _whole(c) for c in columns], schema)
+
+
 class _Node:
     """What was found under one path; last is the last record it was found in, so that no set of records is kept."""
 
@@ -130,8 +147,9 @@ def merged_schema(df: DataFrame, payload: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(DEEPEST)
         root, record = _Node(), 0
-        for b in batches:
+        for b in parts(batches):
             for text in b.column(0).to_pylist():
                 value = parsed(text)
                 if value is not None:
@@ -142,10 +160,10 @@ def merged_schema(df: DataFrame, payload: str) -> DataFrame:
             steps, node = stack.pop()
             rows.append((steps, sorted(KINDS[k] for k in node.kinds if k in KINDS), node.records))
             stack.extend(([*steps, k], n) for k, n in node.under.items())
-        yield batch([list(c) for c in zip(*rows)] or [[], [], []], schema)
+        yield _encoded([list(c) for c in zip(*rows)] or [[], [], []], schema)
 
-    parts = map_arrow(df.select(payload), run, "steps ARRAY<STRING>, kinds ARRAY<STRING>, records BIGINT")
-    merged = parts.groupBy("steps").agg(F.flatten(F.collect_set("kinds")).alias("kinds"), F.sum("records").alias("records"))
+    found = map_arrow(df.select(payload), run, "steps ARRAY<STRING>, kinds ARRAY<STRING>, records BIGINT")
+    merged = found.groupBy("steps").agg(F.flatten(F.collect_set("kinds")).alias("kinds"), F.sum("records").alias("records"))
     return merged.select(F.array_join("steps", ".").alias("path"), "steps", F.array_sort(F.array_distinct("kinds")).alias("kinds"), "records")
 
 
@@ -252,18 +270,19 @@ def shred(
     id_type = df.schema[record_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(DEEPEST)
         out: list[list] = [[] for _ in range(9)]
         walk = _Walk(levels, wanted, pruned, item_fields or {}, out, row_keys)
 
         def flush() -> pa.RecordBatch:
             fields = out[7]
-            maps = pa.array([None if f is None else list(f.items()) for f in fields], schema.field(7).type) if any(f is not None for f in fields) else pa.nulls(len(fields), schema.field(7).type)
-            done = batch([*out[:7], maps, out[8]], schema)
+            maps = [None if f is None else list(f.items()) for f in fields] if any(f is not None for f in fields) else pa.nulls(len(fields), schema.field(7).type)
+            done = _encoded([*out[:7], maps, out[8]], schema)
             for c in out:
                 c.clear()
             return done
 
-        for b in batches:
+        for b in parts(batches):
             for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 value = parsed(text)
                 if value is not None:

@@ -54,13 +54,26 @@ def p5_phonemes(spark: SparkSession, d: str) -> DataFrame:
     return nested.flat_table(rows, "phoneme_ts", fields)
 
 
+def p5_words(spark: SparkSession, d: str) -> DataFrame:
+    df, levels = _records(spark, d)
+    rows = nested.shred(df, "record_id", "payload", {"segments": False, "words": True, **levels}, ["words"])
+    return nested.flat_table(rows, "words", {"item": "string"}).withColumnRenamed("item", "word")
+
+
+def p5_missing_or_extra(spark: SparkSession, d: str) -> DataFrame:
+    df, levels = _records(spark, d)
+    rows = nested.shred(df, "record_id", "payload", {"segments": False, **{c: True for c in CHILDREN}, **levels}, CHILDREN[2:])
+    missing, extra = (nested.flat_table(rows, c, {"item": "string"}).withColumn("kind", F.lit(c)) for c in CHILDREN[2:])
+    return missing.unionByName(extra).withColumnRenamed("item", "phoneme_label")
+
+
 def p5_schema(spark: SparkSession, d: str) -> DataFrame:
     """The merged schema, kinds as text."""
     return nested.merged_schema(spread(table(spark, d, "vs_records").select("record_id", "payload"), "record_id"), "payload").select("path", F.array_join("kinds", ",").alias("kinds"), "records")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_periods, p5_found, p5_segments, p5_phonemes, p5_schema)}
+    return {f.__name__: f for f in (p1_found, p1_periods, p5_found, p5_segments, p5_phonemes, p5_words, p5_missing_or_extra, p5_schema)}
 
 
 _INTERVALS = """

@@ -68,3 +68,11 @@ def test_keys_with_dots(spark, rows):
     assert levels == {"a.b": False, "c.d": True}
     s = N.shred(df, "record_id", "payload", levels, ["c.d"])
     assert rows(s.select("parent_pos", "ord", "pos", "item")) == [(0, 0, 0, "x"), (0, 1, 1, "y"), (1, 0, 2, "z")]
+
+
+def test_half_characters_and_deep_records(spark, rows):
+    deep = '{"a":' * 3000 + '{"words": ["x"]}' + "}" * 3000
+    df = frame(spark, ['{"words": ["\\ud800", "y"], "\\udc00": [1]}', deep])
+    levels = N.array_levels(N.merged_schema(df, "payload"))
+    s = N.shred(df, "record_id", "payload", levels, ["words"])
+    assert rows(s.select("record_id", "ord", "item")) == [(0, 0, "?"), (0, 1, "y"), (1, 0, "x")]
