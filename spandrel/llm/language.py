@@ -60,6 +60,22 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(spoken.lower())
 
 
+def word_offsets(text: str) -> list[tuple[int, int]]:
+    """First and end character of each of words_of(text).
+
+    In cues with garbled text, invisible characters or uncomposed letters, words have their places in
+    the repaired text of the cue, cut off at the cue's end.
+    """
+    out = []
+    for start, body in subtitles.dialogue(text):
+        right = subtitles.ungarbled(body)
+        if not right.isascii():
+            right = unicodedata.normalize("NFC", right.translate(subtitles.INVISIBLE))
+        end = start + len(body)
+        out.extend((min(start + m.start(), end), min(start + m.end(), end)) for m in _WORD.finditer(right.lower()))
+    return out
+
+
 def script(word: str) -> str:
     """The script of a word's first letter; Latin by its range, others by name."""
     c = word[0]
@@ -230,22 +246,24 @@ def document_languages(df: DataFrame, doc_id: str, text: str, model: Model, keep
 
 
 def language_spans(df: DataFrame, doc_id: str, text: str, model: Model) -> DataFrame:
-    """doc_id, span, first_word, words, lang, confidence: each stretch of each document, in order."""
+    """doc_id, span, first_word, words, char_start, char_end, lang, confidence: each stretch of each document, in order."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         names = [*shared.value.langs, "und"]
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for i, scores, path in labelled(b.column(1).to_pylist(), scorer):
+            cols: list[list] = [[] for _ in range(8)]
+            texts = b.column(1).to_pylist()
+            for i, scores, path in labelled(texts, scorer):
+                at = word_offsets(texts[i])
                 starts = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
                 for span, (s, e) in enumerate(zip(starts, np.append(starts[1:], len(path)))):
-                    for c, v in zip(cols, (i, span, int(s), int(e - s), names[path[s]], confidence(scores[s:e], int(path[s])))):
+                    for c, v in zip(cols, (i, span, int(s), int(e - s), at[s][0], at[e - 1][1], names[path[s]], confidence(scores[s:e], int(path[s])))):
                         c.append(v)
             yield batch([b.column(0).take(pa.array(cols[0], pa.int64())), *cols[1:]], schema)
 
-    return map_arrow(df.where(F.col(text).isNotNull()).select(doc_id, text), run, f"`{doc_id}` {df.schema[doc_id].dataType.simpleString()}, span INT, first_word INT, words INT, lang STRING, confidence DOUBLE")
+    return map_arrow(df.where(F.col(text).isNotNull()).select(doc_id, text), run, f"`{doc_id}` {df.schema[doc_id].dataType.simpleString()}, span INT, first_word INT, words INT, char_start INT, char_end INT, lang STRING, confidence DOUBLE")
 
 
 def named_languages(label: Column) -> Column:

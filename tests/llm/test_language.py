@@ -54,6 +54,8 @@ def test_operator(spark, rows):
     assert all(0.5 < r.confidence <= 1 for r in langs.where("share > 0.2").collect())
     s = G.language_spans(df, "doc_id", "text", model).where("doc_id = 4").orderBy("span").collect()
     assert [(r.span, r.lang) for r in s] == [(0, "en"), (1, "de")]
+    both = en + de
+    assert both[s[1].char_start :].startswith("der Hund") and both[: s[0].char_end].endswith("them") and s[0].char_start == 0
     assert G.document_languages(df.limit(0), "doc_id", "text", model).count() == 0
 
 
@@ -65,3 +67,10 @@ def test_held_out_accuracy(spark):
     names = [*scorer.model.langs, "und"]
     right = sum(names[int(np.bincount(path).argmax())] == test[i][0] for i, _, path in G.labelled([t for _, t in test], scorer))
     assert right >= 0.99 * len(test)
+
+
+def test_offsets_go_with_words():
+    text = "1\n00:00:01,000 --> 00:00:02,000\n- <i>Der Hund</i> [BELLT]\n\n2\n00:00:03,000 --> 00:00:04,000\nfÃ¼r e\u0301t\u200be\nwww.x.example\n"
+    words, at = G.words_of(text), G.word_offsets(text)
+    assert words == ["der", "hund", "für", "éte"] and len(at) == 4
+    assert [text[a:b].lower() for a, b in at[:2]] == words[:2]
