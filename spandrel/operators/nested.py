@@ -190,7 +190,7 @@ class _Walk:
             return
         for k, v in value.items():
             if k in self.levels:
-                self.level(v, k, key, pos)
+                self.level(v, k, key, pos, table)
             elif isinstance(v, (dict, list)):
                 self.inside(v, table, f"{key}/{k}", pos, scalars, f"{prefix}{k}.")
             elif isinstance(v, str) and v[:1] in JSON_HEADS and isinstance(e := embedded(v), (dict, list)):
@@ -200,7 +200,7 @@ class _Walk:
                 if self.columns is None or name in self.columns.get(table, ()):
                     scalars[name] = as_text(v)
 
-    def level(self, value, table: str, parent: str, parent_pos: int) -> None:
+    def level(self, value, table: str, parent: str, parent_pos: int, parent_table: str) -> None:
         if isinstance(value, str):
             value = None if value.strip() == "null" else embedded(value)
         if value is None:
@@ -210,7 +210,7 @@ class _Walk:
         self.seen[table] = base + len(values)
         if leaf and not wanted:
             return
-        ids, tbl, parents, keys, parent_poss, ords, poss, fields, items = self.out
+        ids, tbl, parent_tbls, parents, keys, parent_poss, ords, poss, fields, items = self.out
         field = self.item_fields.get(table)
         for i, v in enumerate(values):
             if v is None:
@@ -223,6 +223,7 @@ class _Walk:
             if wanted:
                 ids.append(self.rid)
                 tbl.append(table)
+                parent_tbls.append(parent_table)
                 parents.append(parent if self.row_keys else None)
                 keys.append(key if self.row_keys else None)
                 parent_poss.append(parent_pos)
@@ -257,7 +258,7 @@ def shred(
 ) -> DataFrame:
     """All rows of all tables, in long form:
 
-    record_id, tbl, parent_key, row_key, parent_pos, ord, pos, fields MAP<STRING,STRING>, item STRING.
+    record_id, tbl, parent_tbl, parent_key, row_key, parent_pos, ord, pos, fields MAP<STRING,STRING>, item STRING.
 
     levels: from ``array_levels``.  tables, columns: those that are wanted, all if None; what isn't
     wanted is walked but not returned.  item is the value of an element that is no object; fields has
@@ -271,13 +272,13 @@ def shred(
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(DEEPEST)
-        out: list[list] = [[] for _ in range(9)]
+        out: list[list] = [[] for _ in range(10)]
         walk = _Walk(levels, wanted, pruned, item_fields or {}, out, row_keys)
 
         def flush() -> pa.RecordBatch:
-            fields = out[7]
-            maps = [None if f is None else list(f.items()) for f in fields] if any(f is not None for f in fields) else pa.nulls(len(fields), schema.field(7).type)
-            done = _encoded([*out[:7], maps, out[8]], schema)
+            fields = out[8]
+            maps = [None if f is None else list(f.items()) for f in fields] if any(f is not None for f in fields) else pa.nulls(len(fields), schema.field(8).type)
+            done = _encoded([*out[:8], maps, out[9]], schema)
             for c in out:
                 c.clear()
             return done
@@ -292,7 +293,7 @@ def shred(
         if out[0]:
             yield flush()
 
-    ddl = f"record_id {id_type}, tbl STRING, parent_key STRING, row_key STRING, parent_pos INT, ord INT, pos INT, fields MAP<STRING,STRING>, item STRING"
+    ddl = f"record_id {id_type}, tbl STRING, parent_tbl STRING, parent_key STRING, row_key STRING, parent_pos INT, ord INT, pos INT, fields MAP<STRING,STRING>, item STRING"
     return map_arrow(df.select(record_id, payload), run, ddl)
 
 
@@ -318,4 +319,4 @@ def flat_table(long: DataFrame, name: str, fields: dict[str, str]) -> DataFrame:
         value = F.col("item") if field == "item" else F.col("fields")[field]
         return value.try_cast(kind).alias(field.replace(".", "_"))
 
-    return long.where(F.col("tbl") == name).select("record_id", "parent_key", "row_key", "parent_pos", "ord", "pos", *(column(f, k) for f, k in fields.items()))
+    return long.where(F.col("tbl") == name).select("record_id", "parent_tbl", "parent_key", "row_key", "parent_pos", "ord", "pos", *(column(f, k) for f, k in fields.items()))

@@ -76,3 +76,10 @@ def test_half_characters_and_deep_records(spark, rows):
     levels = N.array_levels(N.merged_schema(df, "payload"))
     s = N.shred(df, "record_id", "payload", levels, ["words"])
     assert rows(s.select("record_id", "ord", "item")) == [(0, 0, "?"), (0, 1, "y"), (1, 0, "x")]
+
+
+def test_parents_are_named(spark, rows):
+    df = frame(spark, [json.dumps({"words": ["top"], "clips": [{"words": ["clip"], "segments": [{"words": ["seg"]}]}]})])
+    levels = N.array_levels(N.merged_schema(df, "payload"))
+    s = N.shred(df, "record_id", "payload", levels, ["words"], row_keys=False)
+    assert rows(s.select("parent_tbl", "item")) == [("", "top"), ("clips", "clip"), ("segments", "seg")]

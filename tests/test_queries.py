@@ -21,3 +21,55 @@ def test_queries_equal_sql():
 
     light = "p1_found p1_periods greedy_decode_runs viterbi_path overlap_add label_runs_rle hop_windows silence_runs coverage_sets missing_gap_fill word_rollup raster_gap_contract tokenise compound_split preset_resolve".split()
     assert selfcheck.main(D, *light) == 0
+
+
+def _json(v):
+    """What a text says, if it is a JSON array or object."""
+    import json
+
+    if isinstance(v, str) and v.lstrip("﻿ ")[:1] in ("[", "{"):
+        try:
+            return json.loads(v.lstrip("﻿ "))
+        except ValueError:
+            return v
+    return None if v == "null" else v
+
+
+def _many(v):
+    v = _json(v)
+    return [] if v is None else v if isinstance(v, list) else [v]
+
+
+def _segments(v):
+    v = _json(v)
+    for x in v if isinstance(v, list) else []:
+        yield from _segments(x)
+    for k, x in v.items() if isinstance(v, dict) else []:
+        if k == "segments":
+            yield from _many(x)
+        else:
+            yield from _segments(x)
+
+
+@pytest.mark.skipif(not os.path.exists(D), reason="no test data")
+def test_nested_records_against_a_plain_walk(spark):
+    import json
+
+    want = set()
+    for r in spark.read.parquet(f"{D}/vs_records.parquet").collect():
+        try:
+            value = json.loads((r.payload or "").lstrip("﻿"))
+        except ValueError:
+            continue
+        for pos, seg in enumerate(_segments(value)):
+            if seg is None:
+                continue
+            seg = _json(seg)
+            about = _json(seg.get("coverage_analysis")) or {}
+            for child in ("phoneme_ts", "words", "missing_phonemes", "extra_phonemes"):
+                for k, x in enumerate(_many((about if "_phonemes" in child else seg).get(child))):
+                    if x is not None:
+                        x = _json(x) if child == "phoneme_ts" else x
+                        want.add((r.record_id, pos, child, k, x["phoneme_label"] if child == "phoneme_ts" else x))
+    got = [tuple(x) for x in e.queries()["p5_found"](spark, D).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
