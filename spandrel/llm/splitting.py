@@ -99,7 +99,7 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         return [(0, n)]
     strength = strengths(text)
     table = StrongestCut(strength, limit)
-    overlap = min(overlap, limit // 4)
+    overlap = min(overlap, limit * 2 // 5)
     pieces, a, end = [], 0, 0
     while n - a > limit:
         hi = a + limit
