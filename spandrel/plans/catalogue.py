@@ -445,14 +445,14 @@ def annotation_table(spark, d):
 
 @query
 def silence_match(spark, d):
-    """Pauses of a text, by their places among its tokens, with the day's quiet stretches of a user; in order, each the nearest."""
+    """Pauses of a text, by their places among its tokens, with all quiet stretches of a user; in order, each the nearest.
+
+    A user's recording is stood in for by the events and its text by that of a segment: user 0 has the first one's, and so on.
+    """
     quiet = islands.silent_runs(_quiet(spark, d), ["user_id"], "idx", F.col("p"), 5, 0.5)
     n = _events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    groups = F.transform(F.sequence(F.lit(1), F.lit(9), F.lit(2)), lambda k: F.struct(k.alias("start"), (k + 1).alias("end")))
-    q = quiet.join(n, "user_id").withColumn("pos", (F.col("start_idx") + F.col("end_idx")) / 2 / F.col("n"))
-    q = q.withColumn("near", F.round("pos", 1)).groupBy("user_id", "near").agg(F.min_by(F.struct("start_idx", "end_idx", "n"), "start_idx").alias("s"))
-    q = q.groupBy("user_id").agg(F.array_sort(F.collect_list("s")).alias("silences"), F.first("s.n").alias("n"))
-    return decoding.match_silences(q.withColumn("groups", groups), ["user_id"], "groups", "silences", F.lit(11), F.col("n"))
+    t = _texts(spark, d).select((F.col("seg_uid") - 1).alias("user_id"), F.transform(text.words_alpha(F.col("text")), lambda x: x == text.SIL).alias("pauses")).join(n, "user_id")
+    return decoding.match_silences(t, quiet, ["user_id"], "pauses", F.col("n"))
 
 
 @query

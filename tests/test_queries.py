@@ -73,3 +73,30 @@ def test_nested_records_against_a_plain_walk(spark):
                         want.add((r.record_id, pos, child, k, x["phoneme_label"] if child == "phoneme_ts" else x))
     got = [tuple(x) for x in e.queries()["p5_found"](spark, D).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.skipif(not os.path.exists(D), reason="no test data")
+def test_silence_match_against_brute_force(spark):
+    import math
+    import re
+    from collections import defaultdict
+
+    from spandrel.operators.decoding import matched
+
+    values = defaultdict(list)
+    for r in spark.read.parquet(f"{D}/events.parquet").collect():
+        values[r.user_id].append((r.ts, r.event_id, math.exp(-r.value / 50)))
+    texts = {r.seg_uid - 1: r.text for r in spark.read.parquet(f"{D}/segments.parquet").collect() if r.text is not None}
+    stretches = lambda flags: [(a, b) for a in range(len(flags)) for b in range(a + 1, len(flags) + 1) if all(flags[a:b]) and not (a and flags[a - 1]) and not (b < len(flags) and flags[b])]
+    want, crowded = set(), False
+    for user, rows in values.items():
+        p = [x for *_, x in sorted(rows)]
+        on = stretches([sum(p[i : i + 5]) / 5 >= 0.5 for i in range(len(p) - 4)])
+        quiet = [(a, len(p) if b == len(p) - 4 else b + 4) for a, b in on]
+        crowded |= len({round((a + b) / 2 / len(p), 1) for a, b in quiet}) < len(quiet)
+        tokens = re.findall(r"\w+|[.,!?;:]", texts.get(user, ""))
+        pauses = stretches([t in tuple(".,!?;:") for t in tokens])
+        want |= {(user, g, s) for g, s in (matched(pauses, quiet, len(tokens), len(p)) if tokens else [])}
+    assert crowded and want
+    got = [tuple(r) for r in e.queries()["silence_match"](spark, D).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
