@@ -2,8 +2,8 @@
 
 Texts are folded: letters lose case, accents and what character recognition confuses; all but letters
 and digits goes, and with it the breaks of words, lines and cues.  One Aho-Corasick automaton holds
-the anchors of all items, ANCHOR folded characters at every STRIDE-th place; a document's dialogue is
-scanned once.  Documents without an anchor, nearly all, are done with after that.
+the anchors of all items, ANCHOR folded characters from every place on; a document's dialogue is
+scanned once.  Documents without a candidate, nearly all, are done with after that.
 
 In the others, a region around the hits of an item is aligned with the item, character by character
 (local alignment), with every folded character mapped to its offset in the original text.  A word of
@@ -13,12 +13,14 @@ another cue or more than MOST_ADDED characters come between.  A document shows a
 at least ``least`` words.  So texts of the same build with other names or numbers, and the item's
 words in another order, aren't found, and damaged, joined, split, lost or added words don't matter.
 
-Anchors that more than SHARED items own are no reason to look at an item (they are its sentence's
-mould); any ``least`` words of an item that are found only by such anchors are found in items that
-have nothing of their own.
+An item is a candidate where a stretch of REACH folded characters holds anchors that cover COVER of its
+characters, one of them its own: owned by at most SHARED items, as what more items own is their
+sentence's mould.  Stretches of ``least`` words in which own anchors cover less than OWN characters have
+nothing of their own that damage would leave, so there every anchor counts as own; words that stand in
+any number of items are found for each of these.
 
 Items come in blocks of BLOCK_CHARS characters, one automaton each, so that what is broadcast stays
-bounded whatever the number of items.
+bounded whatever the number of items.  Owners are counted over all blocks.
 
 Defined results: null and empty documents and items show nothing; repeated documents are found each;
 ties don't occur, as each pair counts once.  Whole texts are scanned, of any length.
@@ -40,11 +42,16 @@ from pyspark.sql import functions as F
 
 from spandrel.functions.arrow import batch, map_arrow, parts
 from spandrel.llm import subtitles
+from spandrel.session import settled
 
-#: Folded characters of an anchor, and from one anchor of an item to the next.
-ANCHOR, STRIDE = 16, 2
-#: Owners up to which an anchor is an item's own, and how many of an item's characters such anchors must cover.
+#: Folded characters of an anchor; one starts at every character of an item.
+ANCHOR = 16
+#: Owners up to which an anchor is an item's own, and characters of a stretch of words that own ones must cover or all anchors of it count as own.
 SHARED, OWN = 2, 20
+#: Folded characters of an item that anchors in so many folded characters of a document must cover.
+COVER, REACH = 20, 200
+#: How far the places of one stretch may drift against the item's by added and lost characters.
+BAND = 64
 #: Folded characters around the hits that are aligned too.
 MARGIN = 160
 #: Part of a word's folded characters that must be aligned for it to be shown; of a number, all.
@@ -93,39 +100,85 @@ class Item:
         self.number = [w.isdigit() for w, _ in parts]
 
 
+def anchors(item: Item) -> list[str]:
+    """The anchor at each place of an item; an item shorter than one has none."""
+    return [item.text[at : at + ANCHOR] for at in range(len(item.text) - ANCHOR + 1)]
+
+
+def covered(places: set[int]) -> int:
+    """Characters of an item that anchors at these places cover."""
+    total, until = 0, 0
+    for at in sorted(places):
+        total += at + ANCHOR - max(at, until)
+        until = at + ANCHOR
+    return total
+
+
 class Automaton:
-    """Anchors of items: folded text -> (item, place) of each owner."""
+    """Anchors of items: folded text -> (item, place) of each owner.
+
+    shared: the anchors that more than SHARED items own, where these aren't all the items; else they are counted.
+    """
 
-    def __init__(self, items: list[tuple[object, str]]):
+    def __init__(self, items: list[tuple[object, str]], least: int = 12, shared: set[str] | None = None):
         self.items = [Item(i, t) for i, t in items]
-        owners: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        places: dict[str, dict[int, list[int]]] = defaultdict(dict)
         for k, item in enumerate(self.items):
-            for at in range(0, len(item.text) - ANCHOR + 1, STRIDE):
-                owners[item.text[at : at + ANCHOR]].append((k, at))
+            for at, anchor in enumerate(anchors(item)):
+                places[anchor].setdefault(k, []).append(at)
+        if shared is None:
+            shared = {x for x, v in places.items() if len(v) > SHARED}
+        own: dict[str, list[int]] = {x: list(v) for x, v in places.items() if x not in shared}
+        for k, item in enumerate(self.items):
+            for anchor in self.bare(item, least, shared):
+                own.setdefault(anchor, []).append(k)
         self.found = ahocorasick.Automaton()
-        for anchor, places in owners.items():
-            self.found.add_word(anchor, (len({k for k, _ in places}) <= SHARED, tuple(places)))
-        if owners:
+        for anchor, v in places.items():
+            self.found.add_word(anchor, (tuple(own.get(anchor, ())), v))
+        if places:
             self.found.make_automaton()
-        self.any = bool(owners)
+        self.any = bool(places)
+
+    @staticmethod
+    def bare(item: Item, least: int, shared: set[str]) -> set[str]:
+        """Shared anchors in stretches of so many words that have too little of their own."""
+        all_of, out = anchors(item), set()
+        for s, e in zip(item.starts, item.ends[least - 1 :]):
+            inside = range(s, e - ANCHOR + 1)
+            if covered({at for at in inside if all_of[at] not in shared}) < OWN:
+                out.update(all_of[at] for at in inside if all_of[at] in shared)
+        return out
 
-    def hits(self, folded: str) -> dict[int, list[tuple[int, int]]]:
+    def hits(self, folded: str, reach: int = REACH) -> dict[int, list[tuple[int, int]]]:
         """(end in the document, place in the item) of the anchors of each candidate item."""
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for end, (few, places) in self.found.iter(folded):
-            if few:
-                for k, at in places:
-                    hits[k].append((end, at))
-        return {k: v for k, v in hits.items() if self.covered({at for _, at in v}) >= OWN}
+        found = list(self.found.iter(folded))
+        owners = {k for _, (own, _) in found for k in own}
+        hits: dict[int, list[tuple[int, int, bool]]] = {k: [] for k in owners}
+        for end, (own, places) in found if owners else ():
+            for k in owners & places.keys():
+                hits[k].extend([(end, at, k in own) for at in places[k]])
+        return {k: near for k, v in hits.items() if len(v) * ANCHOR >= COVER and (near := self.near(v, reach))}
 
     @staticmethod
-    def covered(places: set[int]) -> int:
-        """Characters of an item that anchors at these places cover."""
-        total, until = 0, 0
-        for at in sorted(places):
-            total += at + ANCHOR - max(at, until)
-            until = at + ANCHOR
-        return total
+    def near(hits: list[tuple[int, int, bool]], reach: int) -> list[tuple[int, int]]:
+        """Those of an item's hits that are in a stretch, and on nearby diagonals, with enough of them."""
+        bands: dict[int, list[tuple[int, int, bool]]] = defaultdict(list)
+        for x in hits:
+            bands[(x[0] - x[1]) // BAND].append(x)
+        out: set[tuple[int, int]] = set()
+        for d, v in bands.items():
+            v = sorted(v + bands[d + 1]) if d + 1 in bands else v
+            if len(v) * ANCHOR < COVER or not any(own for *_, own in v):
+                continue
+            i = 0
+            for j, (end, *_) in enumerate(v):
+                while v[i][0] < end - reach:
+                    i += 1
+                if j + 1 < len(v) and v[j + 1][0] - v[i][0] <= reach:
+                    continue  # a larger stretch follows
+                if any(own for *_, own in v[i : j + 1]) and covered({at for _, at, _ in v[i : j + 1]}) >= COVER:
+                    out.update((e, at) for e, at, _ in v[i : j + 1])
+        return sorted(out)
 
 
 class Folded:
@@ -263,7 +316,7 @@ def fast_folded(text: str) -> str:
 
 def shown_in(text: str, automaton: Automaton, least: int) -> list[tuple[object, int, int, int]]:
     """(item id, words, first character, last character) of each item that a document shows."""
-    if not automaton.any or not automaton.hits(fast_folded(text)):
+    if not automaton.any or not automaton.hits(fast_folded(text), 3 * REACH):
         return []
     doc = Folded(text)
     out = []
@@ -298,18 +351,31 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
     kind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     ddl = f"`{doc_id}` {kind[0]}, `{item_id}` {kind[1]}, words INT, char_start INT, char_end INT"
     context = docs.sparkSession.sparkContext
+    block = F.pmod(F.xxhash64(item_id), F.lit(blocks))
+    if blocks > 1:
+        of = settled(map_arrow(rows.select(block.alias("_block"), item_text), _anchors, "_block BIGINT, anchor STRING"))
+        many = of.groupBy("anchor").count().where(F.col("count") > SHARED)
     out: DataFrame | None = None
     for k in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == k).orderBy(item_id).collect()
-        shared = context.broadcast([tuple(r) for r in own])
-        part = map_arrow(docs.where(F.col(text).isNotNull()).select(doc_id, text), _scan(shared, least), ddl)
+        mine = rows.where(block == k).orderBy(item_id).collect()
+        shared = set(of.where(F.col("_block") == k).join(many, "anchor", "left_semi").distinct().toArrow()["anchor"].to_pylist()) if blocks > 1 else None
+        sent = context.broadcast(([tuple(r) for r in mine], shared))
+        part = map_arrow(docs.where(F.col(text).isNotNull()).select(doc_id, text), _scan(sent, least), ddl)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _scan(shared, least: int):
+def _anchors(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Each anchor of an item once."""
+    for b in parts(batches):
+        rows = [(k, x) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in set(anchors(Item(None, t)))]
+        yield batch([list(c) for c in zip(*rows)] or [[], []], schema)
+
+
+def _scan(sent, least: int):
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(shared.value)
+        items, shared = sent.value
+        automaton = Automaton(items, least, shared)
         for b in parts(batches):
             cols: list[list] = [[] for _ in schema]
             for rid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

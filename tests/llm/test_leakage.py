@@ -91,3 +91,20 @@ def test_operator(spark, rows):
         got = rows(K.leaked(docs.select("doc_id", "text"), "doc_id", "text", items, "id", "words", block_chars=block).select("doc_id", "id"))
         assert got == [(1, 1), (1, 1), (5, 1), (5, 2)]
     assert K.leaked(docs.select("doc_id", "text"), "doc_id", "text", items.limit(0), "id", "words").count() == 0
+
+
+def test_passages_of_many_items_are_found_for_each():
+    items = [(k, f"{ITEM} {x}") for k, x in enumerate(("", "Ends one way.", "Other end here.", "Third end there."))]
+    a = K.Automaton(items)
+    text = cues(parted(" ".join(ITEM.split()[:14])))
+    assert {i for i, *_ in K.shown_in(text, a, 12)} == {0, 1, 2, 3}
+
+
+def test_results_do_not_depend_on_blocks(spark, rows):
+    docs = spark.createDataFrame([(1, cues(parted(" ".join(ITEM.split()[:14])))), (2, cues(parted(FIRST))), (3, cues(parted(OTHER)))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(k, f"{ITEM} Ending {k}.") for k in range(5)] + [(8, FIRST)], "id bigint, words string")
+    for block in (10**6, 400, 150):
+        got = rows(K.leaked(docs, "doc_id", "text", items, "id", "words", block_chars=block).select("doc_id", "id"))
+        assert got == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (2, 8)]
+    a, b = K.Automaton([(8, FIRST)], shared=set(K.anchors(K.Item(8, FIRST)))), K.Automaton([(8, FIRST)])
+    assert {i for i, *_ in K.shown_in(FIRST, a, 12)} == {i for i, *_ in K.shown_in(FIRST, b, 12)} == {8}
