@@ -45,9 +45,9 @@ from spandrel.llm import subtitles
 from spandrel.session import settled
 
 #: Folded characters of an anchor; one starts at every character of an item.
-ANCHOR = 16
+ANCHOR = 8
 #: Owners up to which an anchor is an item's own, and characters of a stretch of words that own ones must cover or all anchors of it count as own.
-SHARED, OWN = 2, 20
+SHARED, OWN = 2, 9
 #: Folded characters of an item that anchors in so many folded characters of a document must cover.
 COVER, REACH = 20, 200
 #: How far the places of one stretch may drift against the item's by added and lost characters.

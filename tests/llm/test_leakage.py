@@ -108,3 +108,11 @@ def test_results_do_not_depend_on_blocks(spark, rows):
         assert got == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (2, 8)]
     a, b = K.Automaton([(8, FIRST)], shared=set(K.anchors(K.Item(8, FIRST)))), K.Automaton([(8, FIRST)])
     assert {i for i, *_ in K.shown_in(FIRST, a, 12)} == {i for i, *_ in K.shown_in(FIRST, b, 12)} == {8}
+
+
+@pytest.mark.parametrize("first, damaged", [(7, (2, 5, 8)), (17, (3, 6, 9))])
+def test_several_damaged_words_of_twelve(first, damaged):
+    words = ITEM.split()[first : first + 12]
+    for k in damaged:  # one character of each amiss
+        words[k] = words[k][:2] + "x" + words[k][3:] if len(words[k]) > 3 else words[k]
+    assert found(cues(parted(" ".join(words)))) == {(1, 12)}
