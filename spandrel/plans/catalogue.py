@@ -20,6 +20,8 @@ QUERIES: dict[str, Query] = {}
 SEGMENT = ["clip_id", "seg_idx"]
 #: Frames of a segment that the vectors of `embeddings` stand for, and its blank class.
 LENGTH, BLANK = 50, 63
+#: Labels of an alphabet that are collected; more are refused.
+MOST_LABELS = 10_000
 
 
 def query(f: Query) -> Query:
@@ -470,7 +472,10 @@ def label_duplicates(spark, d):
 @query
 def collapse_labels(spark, d):
     """Labels that are in no alphabet, collapsed to one phone."""
-    known = F.array(*(F.lit(r.phoneme_label) for r in table(spark, d, "alphabet").select("phoneme_label").orderBy("phoneme_id").limit(10_000).collect()))
+    rows = table(spark, d, "alphabet").select("phoneme_label").orderBy("phoneme_id").limit(MOST_LABELS + 1).collect()
+    if len(rows) > MOST_LABELS:
+        raise ValueError(f"the alphabet has more than {MOST_LABELS} labels")
+    known = F.array(*(F.lit(r.phoneme_label) for r in rows))
     p = _phonemes(spark, d).where("ipa_label IS NOT NULL").select("ipa_label").distinct()
     return p.where(~F.array_contains(known, F.col("ipa_label"))).select("ipa_label", text.collapsed(F.col("ipa_label"), known).alias("phone"))
 

@@ -100,3 +100,12 @@ def test_silence_match_against_brute_force(spark):
     assert crowded and want
     got = [tuple(r) for r in e.queries()["silence_match"](spark, D).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_too_large_an_alphabet_is_refused(spark, tmp_path):
+    from spandrel.plans import catalogue
+
+    spark.range(10_001).selectExpr("id AS phoneme_id", "concat('x', id) AS phoneme_label").write.parquet(f"{tmp_path}/alphabet.parquet")
+    spark.createDataFrame([("a",)], "ipa_label string").write.parquet(f"{tmp_path}/phoneme_ts.parquet")
+    with pytest.raises(ValueError, match="more than 10000"):
+        catalogue.collapse_labels(spark, str(tmp_path))
