@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Frames of an interval that are made at once.
+SLICE = 4_096
 
-def rasterised(df: DataFrame, keys: list[str], start_ms: Column, end_ms: Column, label: Column, tie: list[str], ms_per_frame: float, longest_ms: float = 60_000.0) -> DataFrame:
+
+def rasterised(df: DataFrame, keys: list[str], start_ms: Column, end_ms: Column, label: Column, tie: list[str], ms_per_frame: float) -> DataFrame:
     """keys, frame, label: each frame that an interval touches, one wider on each side; the interval that starts first has it.
 
-    Frames count from the first start of the key.  Intervals without two finite times, not ending after
-    their start, or longer than longest_ms are no speech sounds and are left out.
+    Frames count from the first start of the key.  Intervals without two finite times, or not ending after
+    their start, are left out.  Long ones become frames by slices of SLICE, so no array is larger.
     """
     s, e = start_ms.cast("double"), end_ms.cast("double")
-    ok = s.isNotNull() & e.isNotNull() & ~F.isnan(s) & ~F.isnan(e) & (e > s) & (e - s <= longest_ms)
+    ok = s.isNotNull() & e.isNotNull() & ~F.isnan(s) & ~F.isnan(e) & (e > s) & (s > float("-inf")) & (e < float("inf"))
     r = df.where(ok).select(*keys, s.alias("_s"), e.alias("_e"), label.alias("label"), *(F.col(t).alias(f"_t{i}") for i, t in enumerate(tie)))
     ends = r.groupBy(*keys).agg(F.min("_s").alias("_s0"), F.max("_e").alias("_e1"))
     r = r.join(ends, keys)
     frames = F.ceil((F.col("_e1") - F.col("_s0")) / ms_per_frame)
     lo = F.greatest(F.floor((F.col("_s") - F.col("_s0")) / ms_per_frame) - 1, F.lit(0))
     hi = F.least(F.ceil((F.col("_e") - F.col("_s0")) / ms_per_frame) + 1, frames)
-    r = r.withColumn("frame", F.explode(F.sequence(lo, hi - 1)))
+    r = r.withColumn("_hi", hi - 1).withColumn("_lo", F.explode(F.sequence(lo, hi - 1, F.lit(SLICE).cast("bigint"))))
+    r = r.withColumn("frame", F.explode(F.sequence(F.col("_lo"), F.least(F.col("_lo") + (SLICE - 1), F.col("_hi")))))
     first = F.struct("_s", *(f"_t{i}" for i in range(len(tie))))
     return r.groupBy(*keys, "frame").agg(F.min_by("label", first).alias("label"))
 

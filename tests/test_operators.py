@@ -137,3 +137,16 @@ def test_keep_states_stream(spark, rows, tmp_path):
     sessions.keep_states(stream, str(tmp_path / "out"), keys, "start_ms", "end_ms", str(tmp_path / "ck")).awaitTermination(120)
     kept = spark.read.parquet(str(tmp_path / "out")).select(*keys, "slice", "starts", "ends")
     assert rows(covered_periods(combine_states(kept, keys), keys)) == [("a", 0, 0, 20_000), ("a", 0, 30_000, 31_000)]
+
+
+def test_intervals_of_any_length_are_kept(spark):
+    from pyspark.sql import functions as F
+
+    from spandrel.operators import raster
+    from spandrel.plans.catalogue import VALID
+
+    data = [(1, 0.0, 120_000.0), (2, 0.0, float("inf")), (3, float("-inf"), 5.0), (4, 5.0, 5.0), (5, None, 5.0), (6, 0.0, float("nan"))]
+    df = spark.createDataFrame(data, "row_id int, start_ms double, end_ms double")
+    assert [r.row_id for r in df.where(VALID).collect()] == [1]
+    got = raster.rasterised(df.withColumn("k", F.lit(0)), ["k"], F.col("start_ms"), F.col("end_ms"), F.col("row_id"), ["row_id"], 20.0)
+    assert sorted((r.frame, r.label) for r in got.collect()) == [(f, 1) for f in range(6_000)]
