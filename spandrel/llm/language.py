@@ -52,27 +52,28 @@ CODES = {
 NO_LANGUAGE = ("", "und", "undetermined", "unknown", "none", "null", "mul", "mis", "zxx", "xx", "n", "?")
 
 
+def _composed(line: str) -> str:
+    return line if line.isascii() else unicodedata.normalize("NFC", line.translate(subtitles.INVISIBLE))
+
+
 def words_of(text: str) -> list[str]:
     """The words of the dialogue, in lower case."""
-    spoken = subtitles.ungarbled("\n".join([body for _, body in subtitles.dialogue(text)]))
-    if not spoken.isascii():
-        spoken = unicodedata.normalize("NFC", spoken.translate(subtitles.INVISIBLE))
-    return _WORD.findall(spoken.lower())
+    return _WORD.findall(_composed("\n".join(subtitles.spoken(text))).lower())
 
 
 def word_offsets(text: str) -> list[tuple[int, int]]:
     """First and end character of each of words_of(text).
 
-    In cues with garbled text, invisible characters or uncomposed letters, words have their places in
-    the repaired text of the cue, cut off at the cue's end.
+    In lines with invisible characters or uncomposed letters, words have their places in the composed
+    line, cut off at the line's end.
     """
-    out = []
-    for start, body in subtitles.dialogue(text):
-        right = subtitles.ungarbled(body)
-        if not right.isascii():
-            right = unicodedata.normalize("NFC", right.translate(subtitles.INVISIBLE))
-        end = start + len(body)
-        out.extend((min(start + m.start(), end), min(start + m.end(), end)) for m in _WORD.finditer(right.lower()))
+    out, begin = [], 0
+    for line, own in zip(subtitles.spoken(text), subtitles.file_lines(text)):
+        places = [*subtitles.ungarbled_places(own), len(own)]
+        right = _composed(line).lower()
+        last = len(places) - 1
+        out.extend((begin + places[min(m.start(), last)], begin + places[min(m.end(), last)]) for m in _WORD.finditer(right))
+        begin += len(own) + 1
     return out
 
 

@@ -3,24 +3,25 @@
 Texts are folded: letters lose case, accents and what character recognition confuses; all but letters
 and digits goes, and with it the breaks of words, lines and cues.  One Aho-Corasick automaton holds
 the anchors of all items, ANCHOR folded characters from every place on; a document's dialogue is
-scanned once.  Documents without a candidate, nearly all, are done with after that.
+scanned once, and every folded character has its offset in the original text.
 
-In the others, a region around the hits of an item is aligned with the item, character by character
-(local alignment), with every folded character mapped to its offset in the original text.  A word of
-the item is shown if at least SHOWN of it is aligned; lost if nothing stands in its place; else
-something else stands there and the run of shown words ends.  A run also ends where dialogue of
+From a hit, the item's words are sought one after the other at their places in the document, to both
+sides, and where enough of ``least`` consecutive words stands there (STANDING of their characters) what
+is missing between them is aligned with what is there, character by character.
+A word of the item is shown if at least SHOWN of it is aligned; lost if nothing stands in its place;
+else something else stands there and the run of shown words ends.  A run also ends where dialogue of
 another cue or more than MOST_ADDED characters come between.  A document shows an item if a run has
 at least ``least`` words.  So texts of the same build with other names or numbers, and the item's
 words in another order, aren't found, and damaged, joined, split, lost or added words don't matter.
 
-An item is a candidate where a stretch of REACH folded characters holds anchors that cover COVER of its
-characters, one of them its own: owned by at most SHARED items, as what more items own is their
-sentence's mould.  Stretches of ``least`` words in which own anchors cover less than OWN characters have
-nothing of their own that damage would leave, so there every anchor counts as own; words that stand in
-any number of items are found for each of these.
+The anchors that are scanned for are an item's own: owned by at most SHARED items, as what more items
+own is their sentence's mould.  Stretches of ``least`` words in which own anchors cover less than OWN
+characters have nothing of their own that damage would leave, so there every anchor counts as own;
+words that stand in any number of items are found for each of these.
 
-Items come in blocks of BLOCK_CHARS characters, one automaton each, so that what is broadcast stays
-bounded whatever the number of items.  Owners are counted over all blocks.
+Items come in blocks of about BLOCK_CHARS characters, one automaton each, so that what is broadcast
+stays bounded whatever the number of items.  Owners are counted over all blocks, so that blocks don't
+change results.
 
 Defined results: null and empty documents and items show nothing; repeated documents are found each;
 ties don't occur, as each pair counts once.  Whole texts are scanned, of any length.
@@ -45,15 +46,17 @@ from spandrel.llm import subtitles
 from spandrel.session import settled
 
 #: Folded characters of an anchor; one starts at every character of an item.
-ANCHOR = 8
+ANCHOR = 10
 #: Owners up to which an anchor is an item's own, and characters of a stretch of words that own ones must cover or all anchors of it count as own.
 SHARED, OWN = 2, 9
-#: Folded characters of an item that anchors in so many folded characters of a document must cover.
-COVER, REACH = 20, 200
-#: How far the places of one stretch may drift against the item's by added and lost characters.
-BAND = 64
-#: Folded characters around the hits that are aligned too.
-MARGIN = 160
+#: Part of the characters of a stretch of words that must stand at their places for it to be aligned.
+STANDING = 0.5
+#: How far before and behind its place a word is sought, and words in a row that may not be found.
+BEFORE, BEHIND, MISSED = 12, 48, 6
+#: Folded characters around its place in which a damaged word is looked for.
+AROUND = 12
+#: Folded characters of words found one behind the other from which on these hold, and characters beyond the words that are aligned with what is missing at the ends.
+SOLID, MARGIN = 8, 60
 #: Part of a word's folded characters that must be aligned for it to be shown; of a number, all.
 SHOWN = 0.7
 #: Folded characters that may be added between two words of a run, and words that may be lost in a row.
@@ -61,43 +64,63 @@ MOST_ADDED, MOST_LOST = 40, 2
 #: Folded characters added beside or inside a damaged word from which on it is another word.
 OTHER = 4
 #: Characters of a block of items.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 
 #: What character recognition confuses, folded to one spelling.
 CONFUSED = {
     "l": "i", "1": "i", "|": "i", "j": "i", "0": "o", "5": "s", "c": "e", "f": "t", "8": "b",
     "m": "rn", "w": "vv", "d": "ei", "h": "ii", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "i", "đ": "ei", "ı": "i",
 }
+#: Those of one ASCII letter that become two.
+_TWO = [(c, to) for c, to in CONFUSED.items() if c.isascii() and len(to) == 2]
+#: Kept by folding besides letters and digits, as lines and cues are told apart after it.
+_KEPT = ("\n", subtitles.CUE)
+_ASCII = {k: c if c in _KEPT else None for k in range(128) if not (c := chr(k)).isalnum()} | {ord("|"): "i"}
+_ASCII |= {k: c if len(to := CONFUSED.get(c, c)) == 2 else to for k in range(128) if (c := chr(k).lower()).isalnum()}
 
 
 class _Fold(dict):
-    """str.translate table: letters and digits to their folded form, the rest to nothing."""
+    """A character outside ASCII to its folded form, '' for what folding drops."""
 
-    def __missing__(self, code: int) -> str | None:
-        out = ""
-        for c in unicodedata.normalize("NFKD", chr(code).lower()):
-            if c.isalnum():
-                out += CONFUSED.get(c, c)
-        self[code] = out or None
-        return self[code]
+    def __missing__(self, char: str) -> str:
+        self[char] = out = "".join(CONFUSED.get(c, c) for c in unicodedata.normalize("NFKD", char.lower()) if c.isalnum())
+        return out
 
 
-FOLD = _Fold({0xFFFD: None, ord("|"): "i"})
+_FOLD = _Fold()
+_OUTSIDE = re.compile(r"[^\x00-\x7f]")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
+def folded(text: str) -> str:
+    """The text's letters and digits in their folded form, line feeds and marks of cues."""
+    if not text.isascii():
+        text = _OUTSIDE.sub(lambda m: _FOLD[m[0]], text)
+    text = text.translate(_ASCII)
+    for c, to in _TWO:
+        text = text.replace(c, to)
+    return text
+
+
 class Item:
     """An item's folded text and where its words are in it."""
 
-    __slots__ = ("item_id", "text", "starts", "ends", "number")
+    __slots__ = ("item_id", "text", "starts", "ends", "number", "_shortest")
 
     def __init__(self, item_id, text: str):
         self.item_id = item_id
-        parts = [(w, f) for w in _WORD.findall(text) if (f := w.translate(FOLD))]
-        self.text = "".join(f for _, f in parts)
-        ends = np.cumsum([len(f) for _, f in parts]).tolist() if parts else []
+        words = [(w, f) for w in _WORD.findall(text) if (f := folded(w))]
+        self.text = "".join(f for _, f in words)
+        ends = np.cumsum([len(f) for _, f in words]).tolist() if words else []
         self.ends, self.starts = ends, [0, *ends[:-1]] if ends else []
-        self.number = [w.isdigit() for w, _ in parts]
+        self.number = [w.isdigit() for w, _ in words]
+        self._shortest: dict[int, int] = {}
+
+    def shortest(self, least: int) -> int:
+        """Characters of its shortest stretch of so many words."""
+        if least not in self._shortest:
+            self._shortest[least] = min((e - s for s, e in zip(self.starts, self.ends[least - 1 :])), default=0)
+        return self._shortest[least]
 
 
 def anchors(item: Item) -> list[str]:
@@ -115,155 +138,253 @@ def covered(places: set[int]) -> int:
 
 
 class Automaton:
-    """Anchors of items: folded text -> (item, place) of each owner.
+    """Own anchors of items: folded text -> the (item, place) pairs of its owners.
 
     shared: the anchors that more than SHARED items own, where these aren't all the items; else they are counted.
     """
 
     def __init__(self, items: list[tuple[object, str]], least: int = 12, shared: set[str] | None = None):
-        self.items = [Item(i, t) for i, t in items]
-        places: dict[str, dict[int, list[int]]] = defaultdict(dict)
-        for k, item in enumerate(self.items):
-            for at, anchor in enumerate(anchors(item)):
-                places[anchor].setdefault(k, []).append(at)
+        self.items, self.least = [Item(i, t) for i, t in items], least
+        own: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        all_of = [anchors(item) for item in self.items]
         if shared is None:
-            shared = {x for x, v in places.items() if len(v) > SHARED}
-        own: dict[str, list[int]] = {x: list(v) for x, v in places.items() if x not in shared}
-        for k, item in enumerate(self.items):
-            for anchor in self.bare(item, least, shared):
-                own.setdefault(anchor, []).append(k)
-        self.found = ahocorasick.Automaton()
-        for anchor, v in places.items():
-            self.found.add_word(anchor, (tuple(own.get(anchor, ())), v))
-        if places:
+            owners: dict[str, int] = defaultdict(int)
+            for of in all_of:
+                for anchor in set(of):
+                    owners[anchor] += 1
+            shared = {x for x, n in owners.items() if n > SHARED}
+        for k, (item, of) in enumerate(zip(self.items, all_of)):
+            bare = self.bare(item, of, least, shared)
+            for at, anchor in enumerate(of):
+                if anchor not in shared or anchor in bare:
+                    own[anchor].append((k, at))
+        self.owned = list(own.values())
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for v, anchor in enumerate(own):
+            self.found.add_word(anchor, v)
+        if own:
             self.found.make_automaton()
-        self.any = bool(places)
+        self.any = bool(own)
 
     @staticmethod
-    def bare(item: Item, least: int, shared: set[str]) -> set[str]:
+    def bare(item: Item, all_of: list[str], least: int, shared: set[str]) -> set[str]:
         """Shared anchors in stretches of so many words that have too little of their own."""
-        all_of, out = anchors(item), set()
+        out: set[str] = set()
         for s, e in zip(item.starts, item.ends[least - 1 :]):
             inside = range(s, e - ANCHOR + 1)
             if covered({at for at in inside if all_of[at] not in shared}) < OWN:
                 out.update(all_of[at] for at in inside if all_of[at] in shared)
         return out
 
-    def hits(self, folded: str, reach: int = REACH) -> dict[int, list[tuple[int, int]]]:
-        """(end in the document, place in the item) of the anchors of each candidate item."""
-        found = list(self.found.iter(folded))
-        owners = {k for _, (own, _) in found for k in own}
-        hits: dict[int, list[tuple[int, int, bool]]] = {k: [] for k in owners}
-        for end, (own, places) in found if owners else ():
-            for k in owners & places.keys():
-                hits[k].extend([(end, at, k in own) for at in places[k]])
-        return {k: near for k, v in hits.items() if len(v) * ANCHOR >= COVER and (near := self.near(v, reach))}
-
-    @staticmethod
-    def near(hits: list[tuple[int, int, bool]], reach: int) -> list[tuple[int, int]]:
-        """Those of an item's hits that are in a stretch, and on nearby diagonals, with enough of them."""
-        bands: dict[int, list[tuple[int, int, bool]]] = defaultdict(list)
-        for x in hits:
-            bands[(x[0] - x[1]) // BAND].append(x)
-        out: set[tuple[int, int]] = set()
-        for d, v in bands.items():
-            v = sorted(v + bands[d + 1]) if d + 1 in bands else v
-            if len(v) * ANCHOR < COVER or not any(own for *_, own in v):
-                continue
-            i = 0
-            for j, (end, *_) in enumerate(v):
-                while v[i][0] < end - reach:
-                    i += 1
-                if j + 1 < len(v) and v[j + 1][0] - v[i][0] <= reach:
-                    continue  # a larger stretch follows
-                if any(own for *_, own in v[i : j + 1]) and covered({at for _, at, _ in v[i : j + 1]}) >= COVER:
-                    out.update((e, at) for e, at, _ in v[i : j + 1])
-        return sorted(out)
+    def hits(self, text: str) -> dict[int, list[tuple[int, int]]]:
+        """(place in the folded text, place in the item) of the own anchors of each item, in order."""
+        hits: dict[int, list[tuple[int, int]]] = {}
+        for end, v in self.found.iter(text):
+            for k, at in self.owned[v]:
+                hits.setdefault(k, []).append((end - ANCHOR + 1, at))
+        return hits
+
+    def standing(self, text: str, k: int, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+        """Stretches of an item that may stand in the text, from its hits: first and last word sought, (word, place in the text) of each found."""
+        item, walked = self.items[k], []
+        for place, at in hits:
+            if any(lo <= place < hi and a <= at < b and abs(at - a + lo - place) <= BEHIND + b - a for lo, hi, a, b in walked):
+                continue  # in a stretch that was walked before
+            first, last, pairs = walk(item, text, place, at)
+            if pairs:
+                walked.append((min(place, pairs[0][1]), max(place, pairs[-1][1]) + ANCHOR, item.starts[first], item.ends[last]))
+                if stands(item, self.least, pairs) and possible(item, text, first, last, pairs) >= self.least:
+                    yield first, last, pairs
+
+
+def walk(item: Item, text: str, place: int, at: int) -> tuple[int, int, list[tuple[int, int]]]:
+    """Seeks an item's words to both sides of an anchor: first and last word sought, (word, place in the text) of each found.
+
+    A word is sought near the place that the words before it make likely; the walk ends where MISSED
+    words in a row aren't there.
+    """
+    starts, ends, whole = item.starts, item.ends, item.text
+    begin = bisect.bisect_right(starts, at) - 1
+    right: list[tuple[int, int]] = []
+    off, missed, last, before = place - at, 0, begin, 2
+    for w in range(begin, len(starts)):
+        s, e = starts[w], ends[w]
+        last = w
+        p = text.find(whole[s:e], max(0, s + off - before), e + off + BEHIND)
+        if p < 0:
+            missed += 1
+            if missed >= MISSED:
+                break
+        else:
+            right.append((w, p))
+            off, missed, before = p - s, 0, 0
+    left: list[tuple[int, int]] = []
+    off, missed, first, behind = place - at, 0, begin, BEFORE
+    for w in range(begin - 1, -1, -1):
+        s, e = starts[w], ends[w]
+        first = w
+        p = text.rfind(whole[s:e], max(0, s + off - BEHIND), e + off + behind)
+        if p < 0:
+            missed += 1
+            if missed >= MISSED:
+                break
+        else:
+            left.append((w, p))
+            off, missed, behind = p - s, 0, 0
+    return first, last, left[::-1] + right
+
+
+def stands(item: Item, least: int, pairs: list[tuple[int, int]]) -> bool:
+    """Whether the words found are STANDING of the characters of some ``least`` consecutive words."""
+    starts, ends, n = item.starts, item.ends, len(item.starts)
+    if n < least or STANDING * item.shortest(least) > sum(ends[w] - starts[w] for w, _ in pairs):
+        return False
+    there, total, i, j = [ends[w] - starts[w] for w, _ in pairs], 0, 0, 0
+    for w in range(max(0, pairs[0][0] - least + 1), min(n - least, pairs[-1][0]) + 1):
+        while j < len(pairs) and pairs[j][0] < w + least:
+            total += there[j]
+            j += 1
+        while i < j and pairs[i][0] < w:
+            total -= there[i]
+            i += 1
+        if total >= STANDING * (ends[w + least - 1] - starts[w]):
+            return True
+    return False
+
+
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit of an integer for each character of a."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = v = (1 << len(a)) - 1
+    for c in b:
+        u = v & at.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
+
+
+def possible(item: Item, text: str, first: int, last: int, pairs: list[tuple[int, int]]) -> int:
+    """Words that a run can have at most.
+
+    It can't go on where not all the words missing between two found can be shown and something else is there.
+    """
+    starts, ends = item.starts, item.ends
+
+    def may_be(k: int, there: str) -> bool:
+        word = item.text[starts[k] : ends[k]]
+        return common(word, there) >= (len(word) if item.number[k] else SHOWN * len(word))
+
+    def beyond(words: range, at: int, way: int) -> int:
+        """How many of the words at an end that weren't found may still be shown or lost."""
+        n = lost = 0
+        for i, k in enumerate(words, 1):
+            size = ends[k] - starts[k]
+            reach = size + AROUND
+            if may_be(k, text[at : at + reach] if way > 0 else text[max(0, at - reach) : at]):
+                n, lost, at = i, 0, max(0, at + way * size)
+            elif (lost := lost + 1) > MOST_LOST:
+                break
+        return n
+
+    (w, p), best = pairs[0], 0
+    run = 1 + beyond(range(w - 1, first - 1, -1), p, -1)
+    for (w, p), (v, q) in zip(pairs, pairs[1:]):
+        gap = text[p + ends[w] - starts[w] : q]
+        there = [ends[k] - starts[k] for k in range(w + 1, v) if may_be(k, gap)]
+        lost = v - w - 1 - len(there)
+        if len(gap) - sum(there) > (2 + OTHER * len(there) if lost else MOST_ADDED) or lost > MOST_LOST * (len(there) + 1):
+            best, run = max(best, run + MOST_LOST), 0
+        run += v - w if run else 1 + MOST_LOST
+    w, p = pairs[-1]
+    return max(best, run + beyond(range(w + 1, last + 1), p + ends[w] - starts[w], 1))
 
 
 class Folded:
-    """A document's folded dialogue with the offset and the cue of each folded character."""
-
-    def __init__(self, text: str):
-        chars, offsets, cues = [], [], []
-        cue, recent = -1, []
-        for start, body in subtitles.dialogue(text):
-            fresh, at = True, start
-            for line in body.split("\n"):
-                if any(g in line for g in subtitles._GARBLED_SIGNS):
-                    pieces = self._garbled_line(line, at)
-                    key = "".join(c for c, _ in pieces)
-                    places = np.array([o for c, o in pieces for _ in c], np.int64)
-                else:
-                    key = line.translate(FOLD)
-                    places = np.repeat(np.arange(at, at + len(line)), np.fromiter(map(_LENGTHS.__getitem__, line), np.int64, len(line)))
-                at += len(line) + 1
-                if not key or key in recent[-4:]:  # empty, or a repeated line
-                    continue
-                recent.append(key)
+    """A document's folded dialogue; offsets and cues of its characters are made where they are asked for."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.spoken = subtitles.spoken(source)
+        keys = folded("\n".join(self.spoken)).split("\n")
+        kept, lines, cues, recent = [], [], [], []
+        cue, fresh = -1, True
+        for i, key in enumerate(keys):
+            if not key:
+                continue
+            if key[0] == subtitles.CUE:
+                fresh = True
+            elif key not in recent:  # else a repeated line
+                recent = [*recent[-3:], key]
                 cue += fresh
                 fresh = False
-                chars.append(key)
-                offsets.append(places)
-                cues.append(np.full(len(key), cue))
-        self.text = "".join(chars)
-        self.offsets = np.concatenate(offsets).tolist() if offsets else []
-        self.cues = np.concatenate(cues).tolist() if cues else []
-
-    @staticmethod
-    def _garbled_line(line: str, at: int) -> list[tuple[str, int]]:
-        """Folded characters of a line with their offsets; garbled characters are read rightly first."""
-        out, i = [], 0
-        for m in [*subtitles.GARBLED.finditer(line), None]:
-            for k in range(i, m.start() if m else len(line)):
-                if f := FOLD[ord(line[k])]:
-                    out.append((f, at + k))
-            if m:
-                for c in subtitles.ungarbled(m[0]):
-                    if f := FOLD[ord(c)]:
-                        out.append((f, at + m.start()))
-                i = m.end()
+                kept.append(key)
+                lines.append(i)
+                cues.append(cue)
+        self.text, self.lines, self._cues, self._kept = "".join(kept), lines, cues, kept
+        self._starts: list[int] | None = None
+
+    def starts(self) -> list[int]:
+        if self._starts is None:
+            self._starts = [0, *np.cumsum([len(k) for k in self._kept]).tolist()]
+        return self._starts
+
+    def cues(self, lo: int, hi: int) -> list[int]:
+        """The cue of each folded character from lo to hi."""
+        starts = self.starts()
+        i = bisect.bisect_right(starts, lo) - 1
+        out: list[int] = []
+        while len(out) < hi - lo:
+            out += [self._cues[i]] * (min(hi, starts[i + 1]) - max(lo, starts[i]))
+            i += 1
         return out
 
+    def offset(self, at: int) -> int:
+        """The offset in the original text of a folded character."""
+        starts = self.starts()
+        i = bisect.bisect_right(starts, at) - 1
+        k, left = self.lines[i], at - starts[i]
+        lines = subtitles.file_lines(self.source)
+        begin = sum(map(len, lines[:k])) + k
+        places = subtitles.ungarbled_places(lines[k])
+        for j, c in enumerate(self.spoken[k]):
+            left -= len(folded(c)) if c not in _KEPT else 0
+            if left < 0:
+                return begin + places[j]
+        return begin
 
-class _Lengths(dict):
-    """Folded length of a character."""
 
-    def __missing__(self, c: str) -> int:
-        self[c] = len(FOLD[ord(c)] or "")
-        return self[c]
+def aligned(item: str, region: str, whole: bool = True) -> list[int]:
+    """For each character of the item, the place in the region it is aligned with, or -1.
 
-
-_LENGTHS = _Lengths()
-
-
-def aligned(item: str, region: str) -> list[int]:
-    """For each character of the item, the place in the region it is aligned with, or -1; local alignment.
+    Both begin together; they end together too, or, if not ``whole``, where the alignment is best.
 
     Rows are kept with the cost of a gap along the row added to them, so that such gaps are a running
     maximum; row i and place j stand for i characters of the item and j of the region.
     """
     n, m = len(item), len(region)
+    out = [-1] * n
+    if not n or not m:
+        return out
     gap, same, other = 2, 3, -3
-    b = np.frombuffer(region.encode("utf-32-le"), np.uint32)
+    b = np.frombuffer(region.encode("utf-32-le", "surrogatepass"), np.uint32)
     steps = {c: np.where(b == ord(c), same + gap, other + gap).astype(np.int32) for c in set(item)}
-    ramp = np.arange(m + 1, dtype=np.int32) * gap
     rows = np.empty((n + 1, m + 1), np.int32)
-    rows[0] = ramp
+    rows[0] = 0
     along = np.empty(m, np.int32)
     for i, c in enumerate(item, 1):
         row, prev = rows[i], rows[i - 1]
         np.add(prev[:-1], steps[c], out=along)
         np.subtract(prev, gap, out=row)
         np.maximum(row[1:], along, out=row[1:])
-        np.maximum(row, ramp, out=row)
         np.maximum.accumulate(row, out=row)
-    rows -= ramp
-    i, j = map(int, np.unravel_index(int(rows.argmax()), rows.shape))
-    out = [-1] * n
-    while i and j and (v := int(rows[i, j])) > 0:
+    i, j = n, m
+    if not whole:
+        i, j = map(int, np.unravel_index(int((rows - np.arange(m + 1, dtype=np.int32) * gap).argmax()), rows.shape))
+    while i and j:
+        v = int(rows[i, j])
         hit = item[i - 1] == region[j - 1]
-        if v == rows[i - 1, j - 1] + (same if hit else other):
+        if v == rows[i - 1, j - 1] + gap + (same if hit else other):
             if hit:
                 out[i - 1] = j - 1
             i, j = i - 1, j - 1
@@ -274,6 +395,42 @@ def aligned(item: str, region: str) -> list[int]:
     return out
 
 
+def placed(item: Item, text: str, first: int, last: int, pairs: list[tuple[int, int]]) -> list[int]:
+    """For each character of the item, the place in the text that it is aligned with, or -1.
+
+    Words found one behind the other hold; what is between such blocks is aligned, and what is missing
+    at the ends as far as it goes.
+    """
+    blocks: list[list[int]] = []  # from, to in the item; place in the text
+    for w, p in pairs:
+        a, b = item.starts[w], item.ends[w]
+        if blocks and blocks[-1][1] == a and blocks[-1][2] + a - blocks[-1][0] == p:
+            blocks[-1][1] = b
+        else:
+            blocks.append([a, b, p])
+    least = min(SOLID, max(b - a for a, b, _ in blocks))
+    solid: list[list[int]] = []
+    for block in blocks:
+        if block[1] - block[0] >= least and (not solid or block[2] >= solid[-1][2] + solid[-1][1] - solid[-1][0]):
+            solid.append(block)
+    out = [-1] * len(item.text)
+    for a, b, p in solid:
+        out[a:b] = range(p, p + b - a)
+
+    def fill(a: int, places: list[int], lo: int) -> None:
+        out[a : a + len(places)] = [p + lo if p >= 0 else -1 for p in places]
+
+    for (a, b, p), (c, _, q) in zip(solid, solid[1:]):
+        fill(b, aligned(item.text[b:c], text[p + b - a : q]), p + b - a)
+    (c, _, q), (a, b, p) = solid[0], solid[-1]
+    begin, end, at = item.starts[first], item.ends[last], p + b - a
+    fill(b, aligned(item.text[b:end], text[at : at + end - b + MARGIN], False), at)
+    lo = max(0, q - (c - begin) - MARGIN)
+    head = aligned(item.text[begin:c][::-1], text[lo:q][::-1], False)
+    fill(begin, [q - lo - 1 - p if p >= 0 else -1 for p in head[::-1]], lo)
+    return out
+
+
 def longest_run(item: Item, places: list[int], cues: list[int], region: str) -> tuple[int, int, int]:
     """Words of the longest run, and the first and last place it is shown at (-1 if none)."""
     words = [[p for p in places[s:e] if p >= 0] for s, e in zip(item.starts, item.ends)]
@@ -309,37 +466,22 @@ def longest_run(item: Item, places: list[int], cues: list[int], region: str) ->
     return best
 
 
-def fast_folded(text: str) -> str:
-    """The folded dialogue, without offsets and with repeated lines."""
-    return subtitles.ungarbled("\n".join([body for _, body in subtitles.dialogue(text)])).translate(FOLD)
-
-
 def shown_in(text: str, automaton: Automaton, least: int) -> list[tuple[object, int, int, int]]:
     """(item id, words, first character, last character) of each item that a document shows."""
-    if not automaton.any or not automaton.hits(fast_folded(text), 3 * REACH):
+    if not automaton.any:
         return []
-    doc = Folded(text)
-    out = []
+    doc, out = Folded(text), []
     for k, hits in automaton.hits(doc.text).items():
-        item = automaton.items[k]
-        longest = (0, -1, -1)
-        hits.sort()
-        ends = [e for e, _ in hits]
-        i = 0
-        while i < len(hits):
-            stop = ends[i] + len(item.text)
-            j = bisect.bisect_right(ends, stop)
-            lo, hi = max(0, ends[i] - ANCHOR - MARGIN), min(len(doc.text), ends[j - 1] + MARGIN)
-            a, b = max(0, min(p for _, p in hits[i:j]) - MARGIN), max(p for _, p in hits[i:j]) + ANCHOR + MARGIN
-            places = aligned(item.text[a:b], doc.text[lo:hi])
-            places = [-1] * a + places + [-1] * (len(item.text) - a - len(places))
-            run = longest_run(item, places, doc.cues[lo:hi], doc.text[lo:hi])
+        item, longest = automaton.items[k], (0, -1, -1)
+        for first, last, pairs in automaton.standing(doc.text, k, hits):
+            places = placed(item, doc.text, first, last, pairs)
+            there = [p for p in places if p >= 0]
+            lo, hi = min(there), max(there) + 1
+            run = longest_run(item, [p - lo if p >= 0 else -1 for p in places], doc.cues(lo, hi), doc.text[lo:hi])
             if run[0] > longest[0]:
-                longest = (run[0], doc.offsets[lo + run[1]], doc.offsets[lo + run[2]])
-            # the next stretch may begin inside this one, so that a run isn't cut at its end
-            i = j if j == len(hits) or ends[j] - ends[j - 1] > MARGIN else max(i + 1, bisect.bisect_left(ends, ends[j - 1] - MARGIN))
+                longest = (run[0], lo + run[1], lo + run[2])
         if longest[0] >= least:
-            out.append((item.item_id, *longest))
+            out.append((item.item_id, longest[0], doc.offset(longest[1]), doc.offset(longest[2])))
     return out
 
 

@@ -70,18 +70,54 @@ def test_offsets_and_garbled_text():
     assert subtitles.ungarbled("fÃ¼r Ã\x83Â©t") == "für ét"
 
 
-def test_alignment_against_plain_dynamic_programme():
+@pytest.mark.parametrize("whole", [True, False])
+def test_alignment_against_plain_dynamic_programme(whole):
     r = random.Random(4)
-    for _ in range(20):
+    for _ in range(40):
         x, y = ("".join(r.choice("abc") for _ in range(r.randrange(1, 25))) for _ in range(2))
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        best = [[-2 * (i + j) for j in range(len(y) + 1)] for i in range(len(x) + 1)]
         for i in range(1, len(x) + 1):
             for j in range(1, len(y) + 1):
-                best[i][j] = max(0, best[i - 1][j - 1] + (3 if x[i - 1] == y[j - 1] else -3), best[i - 1][j] - 2, best[i][j - 1] - 2)
-        places = K.aligned(x, y)
-        hit = [(i, p) for i, p in enumerate(places) if p >= 0]
+                best[i][j] = max(best[i - 1][j - 1] + (3 if x[i - 1] == y[j - 1] else -3), best[i - 1][j] - 2, best[i][j - 1] - 2)
+        hit = [(i, p) for i, p in enumerate(K.aligned(x, y, whole)) if p >= 0]
         assert all(x[i] == y[p] for i, p in hit) and all(a[1] < b[1] for a, b in zip(hit, hit[1:]))
-        assert bool(hit) == (max(map(max, best)) > 0)
+        want = best[-1][-1] if whole else max(map(max, best))
+        # what is between two hits is aligned at best with pairs of other characters
+        score, at = 0, (-1, -1)
+        for i, p in [*hit, *([(len(x), len(y))] if whole else [])]:
+            a, b = i - at[0] - 1, p - at[1] - 1
+            score += 3 * (i < len(x)) - 3 * min(a, b) - 2 * abs(a - b)
+            at = (i, p)
+        assert score == want
+
+
+def test_common_subsequence():
+    assert [K.common(a, b) for a, b in (("abcd", "axbxd"), ("", "a"), ("ab", ""), ("aab", "ba"), ("abab", "baba"))] == [3, 0, 0, 1, 3]
+
+
+def test_identical_and_moulded_items_are_all_found():
+    items = [(k, ITEM) for k in range(5)] + [(10 + k, f"{FIRST} {'xyzuvw'[k] * 9} {k} ends here.") for k in range(6)]
+    a = K.Automaton(items)
+    assert {i for i, *_ in K.shown_in(cues(parted(ITEM)), a, 12)} == set(range(5))
+    assert {i for i, *_ in K.shown_in(cues(parted(FIRST)), a, 12)} == set(range(10, 16))
+
+
+def test_very_long_item_and_document():
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9))) for _ in range(20_000)]
+    item = " ".join(words)
+    a = K.Automaton([(1, item)])
+    ((i, n, lo, hi),) = K.shown_in(item, a, 12)
+    assert (i, n, lo, hi) == (1, 20_000, 0, len(item) - 1)
+    assert [x[:2] for x in K.shown_in(cues(words[700:713]), a, 12)] == [(1, 13)]
+    assert K.shown_in(cues(words[700:711]), a, 12) == []
+
+
+@pytest.mark.parametrize("sep", ["\n", "\r\n", "\r"])
+def test_line_ends(sep):
+    text = cues(parted(ITEM), sep=sep)
+    ((i, n, lo, hi),) = K.shown_in(text, A, 12)
+    assert (i, n) == (1, 34) and text[lo:].startswith("The council") and text[: hi + 1].endswith("1483")
 
 
 def test_operator(spark, rows):
