@@ -51,8 +51,8 @@ ANCHOR = 10
 SHARED, OWN = 2, 9
 #: Part of the characters of a stretch of words that must stand at their places for it to be aligned.
 STANDING = 0.5
-#: How far before and behind its place a word is sought, and words in a row that may not be found.
-BEFORE, BEHIND, MISSED = 12, 48, 6
+#: How far beyond its place a word is sought, and words in a row that may not be found.
+BEHIND, MISSED = 48, 6
 #: Folded characters around its place in which a damaged word is looked for.
 AROUND = 12
 #: Folded characters of words found one behind the other from which on these hold, and characters beyond the words that are aligned with what is missing at the ends.
@@ -188,11 +188,12 @@ class Automaton:
         """Stretches of an item that may stand in the text, from its hits: first and last word sought, (word, place in the text) of each found."""
         item, walked = self.items[k], []
         for place, at in hits:
-            if any(lo <= place < hi and a <= at < b and abs(at - a + lo - place) <= BEHIND + b - a for lo, hi, a, b in walked):
+            w = bisect.bisect_right(item.starts, at) - 1
+            if any(abs(off - place + at) <= 2 for offs in walked for x in range(w, w + 3) if (off := offs.get(x)) is not None):
                 continue  # in a stretch that was walked before
             first, last, pairs = walk(item, text, place, at)
             if pairs:
-                walked.append((min(place, pairs[0][1]), max(place, pairs[-1][1]) + ANCHOR, item.starts[first], item.ends[last]))
+                walked.append({x: p - item.starts[x] for x, p in pairs})
                 if stands(item, self.least, pairs) and possible(item, text, first, last, pairs) >= self.least:
                     yield first, last, pairs
 
@@ -206,31 +207,31 @@ def walk(item: Item, text: str, place: int, at: int) -> tuple[int, int, list[tup
     starts, ends, whole = item.starts, item.ends, item.text
     begin = bisect.bisect_right(starts, at) - 1
     right: list[tuple[int, int]] = []
-    off, missed, last, before = place - at, 0, begin, 2
+    off, missed, last, edge = place - at, 0, begin, max(0, place - at + starts[begin] - 2)
     for w in range(begin, len(starts)):
         s, e = starts[w], ends[w]
         last = w
-        p = text.find(whole[s:e], max(0, s + off - before), e + off + BEHIND)
+        p = text.find(whole[s:e], edge, e + off + BEHIND)
         if p < 0:
             missed += 1
             if missed >= MISSED:
                 break
         else:
             right.append((w, p))
-            off, missed, before = p - s, 0, 0
+            off, missed, edge = p - s, 0, p + e - s
     left: list[tuple[int, int]] = []
-    off, missed, first, behind = place - at, 0, begin, BEFORE
+    off, missed, first, edge = place - at, 0, begin, right[0][1] if right else place + 2
     for w in range(begin - 1, -1, -1):
         s, e = starts[w], ends[w]
         first = w
-        p = text.rfind(whole[s:e], max(0, s + off - BEHIND), e + off + behind)
+        p = text.rfind(whole[s:e], max(0, s + off - BEHIND), edge)
         if p < 0:
             missed += 1
             if missed >= MISSED:
                 break
         else:
             left.append((w, p))
-            off, missed, behind = p - s, 0, 0
+            off, missed, edge = p - s, 0, p
     return first, last, left[::-1] + right
 
 
