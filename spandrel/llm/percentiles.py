@@ -97,12 +97,10 @@ _STATE = "n BIGINT, err BIGINT, weights ARRAY<BIGINT>, sizes ARRAY<INT>, vals AR
 
 def _rows(groups: list[tuple[tuple, Sketch]], schema: pa.Schema) -> pa.RecordBatch:
     cols: list[list] = [[] for _ in schema]
-    n_keys = len(schema) - 5
     for key, s in groups:
         b = s.buffers()
         for c, v in zip(cols, (*key, s.n, s.err, [w for w, _ in b], [len(v) for _, v in b], np.concatenate([v for _, v in b]))):
             c.append(v)
-    del n_keys
     return batch(cols, schema)
 
 
@@ -139,9 +137,9 @@ def _partial(n_keys: int, k: int):
     return run
 
 
-def _combine(n_keys: int, k: int, wanted: Sequence[float] | None = None):
+def _combine(n_keys: int, k: int, wanted: Sequence[float] | None = None, salt: bool = False):
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        """Input sorted by key."""
+        """Input sorted by key and, if there is one, by the salt in its last column."""
 
         def out(groups: list[tuple[tuple, Sketch]]) -> pa.RecordBatch:
             if wanted is None:
@@ -153,13 +151,14 @@ def _combine(n_keys: int, k: int, wanted: Sequence[float] | None = None):
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(n_keys + 2)]
             weights, sizes = (b.column(n_keys + i).to_pylist() for i in (2, 3))
+            salts = b.column(n_keys + 5).to_pylist() if salt else []
             vals = b.column(n_keys + 4)
             flat, offsets = np.asarray(vals.values), np.asarray(vals.offsets)
             for r in range(b.num_rows):
-                own = tuple(c[r] for c in cols[:n_keys])
+                own = (*(c[r] for c in cols[:n_keys]), *salts[r : r + 1])
                 if sketch is None or own != key:
                     if sketch is not None:
-                        done.append((key, sketch))
+                        done.append((key[:n_keys], sketch))
                         size += sketch.n_loose + k * len(sketch.full)
                         if size > HELD:
                             yield out(done)
@@ -168,7 +167,7 @@ def _combine(n_keys: int, k: int, wanted: Sequence[float] | None = None):
                 ends = (offsets[r] + np.cumsum([0, *sizes[r]])).tolist()
                 sketch.merge(cols[n_keys][r], cols[n_keys + 1][r], [(w, flat[i:j]) for w, i, j in zip(weights[r], ends, ends[1:])])
         if sketch is not None:
-            done.append((key, sketch))
+            done.append((key[:n_keys], sketch))
         if done:
             yield out(done)
 
@@ -193,17 +192,25 @@ def merge_sketches(parts: DataFrame, keys: list[str], k: int = K, fan_in: int =
     """Sketches by keys from sketches by these and any other keys."""
     ddl = f"{_ddl(parts, keys)}, {_STATE}"
     parts = parts.select(*keys, "n", "err", "weights", "sizes", "vals")
-    salted = parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(fan_in))).repartition(*keys, "_salt").sortWithinPartitions(*keys)
-    first = map_arrow(salted.drop("_salt"), _combine(len(keys), k), ddl)
-    return map_arrow(first.repartition(*keys).sortWithinPartitions(*keys), _combine(len(keys), k), ddl)
+    order = [*keys, "n", "err", "weights", "vals"]
+    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("n", "err", "vals"), F.lit(fan_in))).repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt", *order[len(keys) :])
+    first = map_arrow(salted, _combine(len(keys), k, salt=True), ddl)
+    return map_arrow(first.repartition(*keys).sortWithinPartitions(*order), _combine(len(keys), k), ddl)
 
 
 def percentiles(merged: DataFrame, keys: list[str], at: dict[str, float], k: int = K) -> DataFrame:
     """keys, n, rank_error and a column for each percentile, of sketches that have one row for each group."""
     ddl = f"{_ddl(merged, keys)}, n BIGINT, rank_error BIGINT, " + ", ".join(f"`{c}` DOUBLE" for c in at)
-    return map_arrow(merged.select(*keys, "n", "err", "weights", "sizes", "vals"), _combine_each(len(keys), k, list(at.values())), ddl)
-
-
-def _combine_each(n_keys: int, k: int, at: list[float]):
-    """Each row is a group of its own, so no order is needed."""
-    return _combine(n_keys, k, at)
+    return map_arrow(merged.select(*keys, "n", "err", "weights", "sizes", "vals"), _combine(len(keys), k, list(at.values())), ddl)
+
+
+def ranks(df: DataFrame, keys: list[str], value: Column, asked: DataFrame, at: Sequence[str]) -> DataFrame:
+    """asked with below_x and to_x for each percentile x: how many values of the group are below it, and not above it."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    p = asked.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), *at)
+    on = None
+    rows = df.select(*keys, value.alias("_v"))
+    for k, n in zip(keys, names):
+        on = rows[k].eqNullSafe(p[n]) if on is None else on & rows[k].eqNullSafe(p[n])
+    counts = [F.sum((F.col("_v") < F.col(x)).cast("long")).alias(f"below_{x}") for x in at] + [F.sum((F.col("_v") <= F.col(x)).cast("long")).alias(f"to_{x}") for x in at]
+    return rows.join(p, on).groupBy(*names).agg(*counts).select(*(F.col(n).alias(k) for k, n in zip(keys, names)), *(f"below_{x}" for x in at), *(f"to_{x}" for x in at))

@@ -43,6 +43,19 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.percentiles(percentiles.merge_sketches(_daily(spark, d), ["phoneme_label"]), ["phoneme_label"], AT)
 
 
+def p3_within_error(spark: SparkSession, d: str) -> DataFrame:
+    """Per label, whether every percentile's rank among all values is within the error that the sketch states, by counting."""
+    found = p3_percentiles(spark, d)
+    good = table(spark, d, "phoneme_ts").where("confidence BETWEEN 0 AND 1").select("phoneme_label", "confidence")
+    counted = percentiles.ranks(good, ["phoneme_label"], F.col("confidence"), found, list(AT))
+    counted = counted.withColumnRenamed("phoneme_label", "_label")
+    ok = F.lit(True)
+    for x, q in AT.items():
+        rank = F.greatest(F.lit(1), F.ceil(F.col("n") * q - 1e-9))
+        ok = ok & (F.col(f"below_{x}") + 1 - F.col("rank_error") <= rank) & (rank <= F.col(f"to_{x}") + F.col("rank_error"))
+    return found.join(counted, F.col("phoneme_label").eqNullSafe(F.col("_label"))).select("phoneme_label", "n", ok.alias("within"))
+
+
 def p3_daily_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.percentiles(_daily(spark, d), ["phoneme_label", "loaded_on"], AT)
 
@@ -108,4 +121,4 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_percentiles, p3_daily_percentiles, p4_found, p4_terms, p6_found, p7_containers, p8_found, p8_passages, p9_found, p9_languages, p9_spans)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_percentiles, p3_within_error, p3_daily_percentiles, p4_found, p4_terms, p6_found, p7_containers, p8_found, p8_passages, p9_found, p9_languages, p9_spans)}

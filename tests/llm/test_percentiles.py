@@ -23,13 +23,13 @@ def test_rank_error_is_bounded(seed, k, ties):
         whole.merge(s.n, s.err, s.buffers())
     assert whole.n == len(x)
     assert sum(w * len(v) for w, v in whole.buffers()) == len(x)
-    assert whole.err <= len(x) * math.log2(max(2, len(x) / k)) / k
+    assert whole.err <= len(x) * math.log2(max(2, len(x) / k)) / (2 * k)
     order = np.sort(x)
     for q in (0.001, 0.1, 0.5, 0.9, 1.0):
         v = whole.quantiles([q])[0]
         rank = max(1, math.ceil(q * len(x) - 1e-9))
         lo, hi = np.searchsorted(order, v, "left") + 1, np.searchsorted(order, v, "right")
-        assert lo - whole.err - max(w for w, _ in whole.buffers()) <= rank <= hi + whole.err + max(w for w, _ in whole.buffers())
+        assert lo - whole.err <= rank <= hi + whole.err
     if k >= len(x):
         assert whole.err == 0
 
@@ -53,5 +53,19 @@ def test_small_buffers_in_spark(spark):
     n = 30_000
     df = spark.range(n).select(F.lit("hot").alias("g"), (F.col("id") / n).alias("v")).repartition(8)
     r = P.percentiles(P.sketches(df, ["g"], F.col("v"), k=128), ["g"], AT, 128).first()
-    assert r.n == n and abs(r.median - 0.5) * n <= r.rank_error + 512
+    assert r.n == n and abs(r.median - 0.5) * n <= r.rank_error + 1
     assert P.sketches(df.limit(0), ["g"], F.col("v")).count() == 0
+
+
+def test_order_of_arrival_does_not_matter(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([("a", float(v)) for v in rng.random(20_000)], "g string, v double").repartition(12)
+    parts = P.map_arrow(df.select("g", "v"), P._partial(1, 64), "g STRING, " + P._STATE)
+    kept = parts.collect()
+    assert len(kept) > 6
+    seen = set()
+    for seed in range(4):
+        rng.shuffle(order := list(range(len(kept))))
+        again = spark.createDataFrame([kept[i] for i in order], parts.schema).repartition(1 + seed)
+        seen.add(tuple(P.percentiles(P.merge_sketches(again, ["g"], 64, fan_in=3), ["g"], AT, 64).first()))
+    assert len(seen) == 1
