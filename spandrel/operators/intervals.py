@@ -7,7 +7,8 @@ linear merge of their sorted lists, in a reduction tree:
 1. every scan task reduces its own rows to partial states, before anything is shuffled;
 2. partial states meet in up to FAN_IN salted groups of an (entity, slice);
 3. the salted groups meet, one group per (entity, slice);
-4. slices of an entity are stitched with a running maximum over one narrow row per slice.
+4. slices of an entity are stitched with a running maximum over one narrow row (slice, latest end) per
+   slice, which is joined to the lists by slice.
 
 A hot entity is thus split over the scan tasks, over salts and over slices; no task holds more than
 one slice's disjoint intervals, whose number is bounded by the slice's length and not by the rows.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from spandrel.functions.arrow import batch, combined, map_arrow
 
-#: Length of a slice of the timeline in microseconds (about 67 s).
+#: Length of a slice of the timeline in microseconds (about 67 s); at most 2**27.
 SLICE_US = 1 << 26
 #: Salted groups that partial states of one (entity, slice) meet in first.
 FAN_IN = 16
@@ -39,26 +40,26 @@ FAN_IN = 16
 ROWS_AT_ONCE = 262_144
 
 
-def disjoint(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def disjoint(code: np.ndarray, start: np.ndarray, end: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Disjoint intervals of each code from any intervals; sorted by code and start.
 
-    The stable sort is a merge of the runs that are already in order, so combining sorted lists is
-    linear in their length.
+    within: the starts' places in their slices, less than 2**27.  The stable sort of one integer finds
+    the runs that are in order and merges them, so that sorted lists are merged in linear time.
     """
     n = len(start)
     if n == 0:
         return code, start, end
-    order = np.lexsort((start, code))
-    code, start, end = code[order], start[order], end[order]
-    first = np.empty(n, bool)
-    first[0] = True
-    np.not_equal(code[1:], code[:-1], out=first[1:])
-    # Running maximum of the ends within a code: ranks of the ends make one comparable integer.
-    by_end = np.argsort(end, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[by_end] = np.arange(n)
-    group = np.cumsum(first) - 1
-    top = end[by_end[np.maximum.accumulate(group * n + rank) - group * n]]
+    key = (code << 27) | within
+    if (key[1:] < key[:-1]).any():
+        order = np.argsort(key, kind="stable")
+        code, start, end = code[order], start[order], end[order]
+    first = np.append(True, code[1:] != code[:-1])
+    # running maximum of the ends within a code, over 2, 4, 8 ... rows
+    top, longest, step = end, int(np.diff(np.append(np.flatnonzero(first), n)).max()), 1
+    while step < longest:
+        same = code[step:] == code[:-step]
+        top = np.concatenate((top[:step], np.where(same, np.maximum(top[step:], top[:-step]), top[step:])))
+        step *= 2
     opens = first
     opens[1:] |= start[1:] > top[:-1]
     at = np.flatnonzero(opens)
@@ -99,7 +100,7 @@ def _partial(n_keys: int, slice_us: int):
             start, end = (np.asarray(combined(t.column(n_keys + i))) for i in (0, 1))
             slices = np.floor_divide(start, slice_us)
             code, at = _codes(keys, slices)
-            return _states(keys, at, *disjoint(code, start, end), slices[at], schema)
+            return _states(keys, at, *disjoint(code, start, end, start - slices * slice_us), slices[at], schema)
 
         held, rows = [], 0
         for b in batches:
@@ -145,7 +146,10 @@ def _merged(t: pa.Table, n_keys: int, schema: pa.Schema) -> pa.RecordBatch:
         new[1:] |= p[1:] != p[:-1]
     at = np.flatnonzero(new)
     code = np.repeat(np.cumsum(new) - 1, np.asarray(pc.list_value_length(starts)))
-    return _states(keys, at, *disjoint(code, np.asarray(starts.flatten()), np.asarray(ends.flatten())), slices[at], schema)
+    start = np.asarray(starts.flatten())
+    heads = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else at
+    own = np.minimum.reduceat(start, heads)[code] if len(code) else start  # a slice is no longer than 2**27
+    return _states(keys, at, *disjoint(code, start, np.asarray(ends.flatten()), start - own), slices[at], schema)
 
 
 def _ddl(df: DataFrame, keys: list[str]) -> str:
@@ -154,6 +158,8 @@ def _ddl(df: DataFrame, keys: list[str]) -> str:
 
 def interval_states(df: DataFrame, keys: list[str], start_ms: Column, end_ms: Column, slice_us: int = SLICE_US) -> DataFrame:
     """The aggregate's states: keys, slice, starts, ends; one row per key and slice."""
+    if not 0 < slice_us <= 1 << 27:
+        raise ValueError("a slice has 1 to 2**27 microseconds")
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 9e15)
     s, e = start_ms.cast("double"), end_ms.cast("double")
     rows = df.where(finite(s) & finite(e) & (e > s)).select(*keys, F.rint(s * 1000).cast("long").alias("_s"), F.rint(e * 1000).cast("long").alias("_e"))
@@ -170,35 +176,44 @@ def combine_states(states: DataFrame, keys: list[str], fan_in: int = FAN_IN) ->
 
 
 def _stitched(states: DataFrame, keys: list[str]) -> DataFrame:
-    """Each slice with the latest end before it and its gaps as (gap_start, gap_end), also the one before its first interval."""
+    """keys, slice, gaps: of each slice its gaps as (gap_start, gap_end), also the one before its first interval; that of a key's first slice has no start.
+
+    Only keys, slice and latest end go through the window over a whole key; the lists are joined to it by slice.
+    """
     before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = states.withColumn("_carry", F.max(F.element_at("ends", -1)).over(before))
+    names = [f"_k{i}" for i in range(len(keys))]
+    narrow = states.select(*keys, "slice", F.element_at("ends", -1).alias("_end"))
+    narrow = narrow.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col("slice").alias("_s"), F.max("_end").over(before).alias("_carry"))
+    on = states["slice"] == narrow["_s"]
+    for k, n in zip(keys, names):
+        on = on & states[k].eqNullSafe(narrow[n])
     pairs = F.zip_with(
         F.concat(F.array(F.col("_carry")), F.slice("ends", F.lit(1), F.size("ends") - 1)),
         F.col("starts"),
         lambda end, start: F.struct(F.greatest(end, F.col("_carry")).alias("gap_start"), start.alias("gap_end")),
     )
-    return carried.withColumn("_gaps", F.filter(pairs, lambda p: p["gap_end"] > p["gap_start"]))
+    gaps = F.filter(pairs, lambda p: p["gap_start"].isNull() | (p["gap_end"] > p["gap_start"]))
+    return states.join(narrow, on).select(*(states[k] for k in keys), "slice", "ends", gaps.alias("gaps"))
 
 
 def interval_gaps(states: DataFrame, keys: list[str], min_gap_us: int = 1) -> DataFrame:
     """keys, gap_start_us, gap_end_us of every uncovered stretch of at least min_gap_us between two covered instants."""
-    gap = F.explode(F.filter("_gaps", lambda p: p["gap_end"] - p["gap_start"] >= min_gap_us)).alias("_g")
+    gap = F.explode(F.filter("gaps", lambda p: p["gap_end"] - p["gap_start"] >= min_gap_us)).alias("_g")
     return _stitched(states, keys).select(*keys, gap).select(*keys, F.col("_g.gap_start").alias("gap_start_us"), F.col("_g.gap_end").alias("gap_end_us"))
 
 
 def covered_periods(states: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, period_start_us, period_end_us of every continuous covered period."""
+    """keys, period_start_us, period_end_us of every continuous covered period.
+
+    A period between two gaps of one slice is made there; of those that go on into other slices only
+    the ends of the slices' gaps meet in a window, a row for each slice.
+    """
+    s = _stitched(states, keys)
+    inside = F.zip_with(F.col("gaps"), F.slice("gaps", F.lit(2), F.greatest(F.size("gaps") - 1, F.lit(0))), lambda a, b: F.struct(a["gap_end"].alias("a"), b["gap_start"].alias("b")))
+    inner = s.select(*keys, F.explode(inside).alias("_p")).select(*keys, F.col("_p.a").alias("period_start_us"), F.col("_p.b").alias("period_end_us")).where("period_end_us IS NOT NULL")
     own = Window.partitionBy(*keys).orderBy("slice")
     after = own.rowsBetween(1, Window.unboundedFollowing)
-    s = _stitched(states, keys)
-    opened = F.col("_gaps.gap_end")
-    starts = F.when(F.col("_carry").isNull(), F.concat(F.slice("starts", 1, 1), opened)).otherwise(opened)
-    s = s.withColumn("_first_gap", F.when(F.size("_gaps") > 0, F.element_at("_gaps.gap_start", 1)))
-    s = s.withColumn("_open", starts).withColumn("_next", F.first("_first_gap", ignorenulls=True).over(after))
-    s = s.withColumn("_top", F.max(F.element_at("ends", -1)).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    inner = F.col("_gaps.gap_start")
-    ends = F.when(F.col("_carry").isNull(), inner).otherwise(F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 1, F.lit(0))))
-    whole = F.concat(ends, F.array(F.coalesce("_next", "_top")))
-    pairs = F.when(F.size("_open") > 0, F.zip_with("_open", whole, lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-    return s.select(*keys, F.explode(pairs).alias("_p")).select(*keys, F.col("_p.a").alias("period_start_us"), F.col("_p.b").alias("period_end_us"))
+    edges = s.select(*keys, "slice", F.try_element_at("gaps", F.lit(1))["gap_start"].alias("_close"), F.try_element_at("gaps", F.lit(-1))["gap_end"].alias("_open"), F.element_at("ends", -1).alias("_end"))
+    edges = edges.withColumn("_next", F.first("_close", ignorenulls=True).over(after)).withColumn("_top", F.max("_end").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    across = edges.where("_open IS NOT NULL").select(*keys, F.col("_open").alias("period_start_us"), F.coalesce("_next", "_top").alias("period_end_us"))
+    return inner.unionByName(across)

@@ -15,7 +15,8 @@ into a child table.  Both read JSON held as text.
 Row keys are paths such as ``segments/3/phoneme_ts/17``: unique in their record, the same in every
 run, made without any coordination between tasks.
 
-Defined results: halves of surrogate pairs become question marks.  Null, empty and incomplete payloads and payloads with trailing text give no rows;
+Defined results: halves of surrogate pairs become question marks.  Null, empty and incomplete payloads, payloads with
+trailing text and such of more than DEEPEST levels give no rows;
 invisible characters and a byte order mark in front are skipped.  Repeated record ids give repeated
 rows.  Keys beyond the schema are ignored by ``shred`` and found by ``merged_schema``.
 """
@@ -23,6 +24,7 @@ rows.  Keys beyond the schema are ignored by ``shred`` and found by ``merged_sch
 from __future__ import annotations
 
 import json
+import re
 import sys
 from collections.abc import Iterable, Iterator
 
@@ -38,19 +40,86 @@ IN_FRONT = "﻿​‌‍⁠­ ᠎‎‏ \t\r\n\x00"
 JSON_HEADS = frozenset('[{"') | frozenset(IN_FRONT) - {" "}
 #: The table that a record's outermost values belong to.
 ROOT = ""
-#: Levels of nesting that a walk may go down; what the JSON parser takes is less.
-DEEPEST = 100_000
+#: Levels of nesting that are read; payloads with more count as incomplete.
+DEEPEST = 10_000
 #: Rows of a batch that a task returns.
 ROWS_AT_ONCE = 65_536
 
 
+_BLANK = re.compile(r"[ \t\n\r]*").match
+_SCALAR = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null|NaN|-?Infinity").match
+
+
+def deep(text: str):
+    """What json.loads gives, for text nested deeper than that can go: a stack in place of recursion."""
+
+    def fail(at: int):
+        raise ValueError(f"no JSON at {at}")
+
+    stack: list[tuple[list | dict, str | None]] = []  # open containers, and the key that the next value of an object gets
+    at, value, size = _BLANK(text).end(), None, len(text)
+    while True:
+        c = text[at : at + 1]
+        opened = False
+        if c in ("[", "{") and c:
+            if len(stack) >= DEEPEST:
+                fail(at)
+            stack.append(([] if c == "[" else {}, None))
+            at = _BLANK(text, at + 1).end()
+            if text[at : at + 1] == ("]" if c == "[" else "}"):
+                value, at = stack.pop()[0], at + 1
+            else:
+                opened = True
+        elif c == '"':
+            value, at = json.decoder.scanstring(text, at + 1, True)
+        elif m := _SCALAR(text, at):
+            value, at = json.loads(m[0]), m.end()
+        else:
+            fail(at)
+        while True:  # the value goes into what is open
+            if not opened:
+                at = _BLANK(text, at).end()
+                if not stack:
+                    return value if at == size else fail(at)
+                inside, key = stack[-1]
+                if isinstance(inside, list):
+                    inside.append(value)
+                else:
+                    inside[key] = value
+                c = text[at : at + 1]
+                at = _BLANK(text, at + 1).end()
+                if c == ("]" if isinstance(inside, list) else "}"):
+                    value, at = stack.pop()[0], at
+                    continue
+                if c != ",":
+                    fail(at)
+            inside = stack[-1][0]
+            if isinstance(inside, dict):
+                if text[at : at + 1] != '"':
+                    fail(at)
+                key, at = json.decoder.scanstring(text, at + 1, True)
+                at = _BLANK(text, at).end()
+                if text[at : at + 1] != ":":
+                    fail(at)
+                at = _BLANK(text, at + 1).end()
+                stack[-1] = inside, key
+            break
+
+
+def loaded(text: str):
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return deep(text)
+
+
 def parsed(payload: str | None):
     """The payload's value, or None if it is no complete JSON array or object."""
     if not payload:
         return None
     try:
-        value = json.loads(payload.lstrip(IN_FRONT))
-    except (ValueError, RecursionError):
+        value = loaded(payload.lstrip(IN_FRONT))
+    except ValueError:
         return None
     value = embedded(value) if isinstance(value, str) else value
     return value if isinstance(value, (dict, list)) else None
@@ -61,8 +130,8 @@ def embedded(text: str):
     head = text.lstrip(IN_FRONT)[:1]
     if head in ("[", "{") or (head == '"' and len(text) > 1):
         try:
-            value = json.loads(text.lstrip(IN_FRONT))
-        except (ValueError, RecursionError):
+            value = loaded(text.lstrip(IN_FRONT))
+        except ValueError:
             return text
         return embedded(value) if isinstance(value, str) else value
     return text
@@ -147,7 +216,7 @@ def merged_schema(df: DataFrame, payload: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(DEEPEST)
+        sys.setrecursionlimit(5 * DEEPEST)
         root, record = _Node(), 0
         for b in parts(batches):
             for text in b.column(0).to_pylist():
@@ -271,7 +340,7 @@ def shred(
     id_type = df.schema[record_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(DEEPEST)
+        sys.setrecursionlimit(5 * DEEPEST)
         out: list[list] = [[] for _ in range(10)]
         walk = _Walk(levels, wanted, pruned, item_fields or {}, out, row_keys)
 

@@ -36,7 +36,7 @@ def _records(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, bool]]:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     df, levels = _records(spark, d)
     levels = {**{c: True for c in CHILDREN}, "segments": False, **levels}
-    rows = nested.shred(df, "record_id", "payload", levels, CHILDREN, item_fields=ITEM_FIELDS, row_keys=False)
+    rows = nested.shred(df, "record_id", "payload", levels, CHILDREN, item_fields=ITEM_FIELDS)
     return rows.where("parent_tbl = 'segments'").select("record_id", F.col("parent_pos").alias("seg_pos"), F.col("tbl").alias("child"), F.col("ord").alias("child_pos"), "item")
 
 

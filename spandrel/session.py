@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +32,14 @@ def settled(df: DataFrame) -> DataFrame:
     """The frame, computed once and kept in the folder that the cluster names in spark.checkpoint.dir.
 
     All executors share that folder, so the result survives the loss of any of them.  Only where the
-    setting is missing, as in tests, a temporary folder of this machine is used.
+    setting is missing and all runs on this machine, as in tests, a temporary folder of it is used; a
+    cluster without the setting is refused.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spandrel-"))
     return df.checkpoint()
 

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from spandrel.operators import nested as N
@@ -83,3 +85,20 @@ def test_parents_are_named(spark, rows):
     levels = N.array_levels(N.merged_schema(df, "payload"))
     s = N.shred(df, "record_id", "payload", levels, ["words"], row_keys=False)
     assert rows(s.select("parent_tbl", "item")) == [("", "top"), ("clips", "clip"), ("segments", "seg")]
+
+
+@pytest.mark.parametrize("text", ['[1, {"a": [], "b": {}}, -2.5e3, "x\\\\u00e9", null, true]', " {} ", '"x"', "3", "[NaN]"])
+def test_parser_with_a_stack(text):
+    assert repr(N.deep(text)) == repr(json.loads(text))
+
+
+@pytest.mark.parametrize("text", ["", "[", "[1,]", "{1: 2}", '{"a" 1}', '{"a": 1,}', "[1] 2", "[1 2]", "tru", '["x]'])
+def test_parser_with_a_stack_refuses(text):
+    with pytest.raises(ValueError):
+        N.deep(text)
+
+
+def test_deeper_than_the_plain_parser_goes(spark, rows):
+    n = 9_000
+    got = rows(N.shred(frame(spark, ['{"a":' * n + '{"words": ["x"]}' + "}" * n]), "record_id", "payload", {"words": True}).select("tbl", "ord", "item"))
+    assert got == [("words", 0, "x")]
