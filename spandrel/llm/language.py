@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.functions.arrow import batch, map_arrow
+from spandrel.functions.arrow import batch, map_arrow, parts
 from spandrel.llm import subtitles
 
 #: Rows of the labelled sample at most.
@@ -221,25 +221,29 @@ def fitted(samples: DataFrame, lang: str, text: str) -> Model:
     return Model(sorted(tuple(r) for r in rows))
 
 
-def document_languages(df: DataFrame, doc_id: str, text: str, model: Model, keep: list[str] = ()) -> DataFrame:
-    """doc_id, the kept columns, lang, share, words, confidence: a row for each language of a document."""
+def document_languages(df: DataFrame, doc_id: str, text: str, model: Model, keep: list[str] = (), least_share: float = 0.1) -> DataFrame:
+    """doc_id, the kept columns, lang, share, words, confidence, spoken: a row for each language of a document.
+
+    spoken: the document's languages, in order, that make up at least ``least_share`` of its words.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
     columns = [doc_id, *keep]
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         names = [*shared.value.langs, "und"]
-        for b in batches:
-            cols: list[list] = [[] for _ in range(5)]
+        for b in parts(batches):
+            cols: list[list] = [[] for _ in range(6)]
             for i, scores, path in labelled(b.column(len(columns)).to_pylist(), scorer):
                 n = np.bincount(path, minlength=len(names))
+                spoken = [x for k, x in enumerate(names[:-1]) if n[k] >= least_share * len(path) and n[k]]
                 for k in np.flatnonzero(n):
-                    for c, v in zip(cols, (i, names[k], n[k] / len(path), int(n[k]), confidence(scores[path == k], k))):
+                    for c, v in zip(cols, (i, names[k], n[k] / len(path), int(n[k]), confidence(scores[path == k], k), spoken)):
                         c.append(v)
             rows = pa.array(cols[0], pa.int64())
             yield batch([*(b.column(j).take(rows) for j in range(len(columns))), *cols[1:]], schema)
 
-    ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns) + ", lang STRING, share DOUBLE, words BIGINT, confidence DOUBLE"
+    ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns) + ", lang STRING, share DOUBLE, words BIGINT, confidence DOUBLE, spoken ARRAY<STRING>"
     rows = df.where(F.col(text).isNotNull()).select(*columns, text)
     if "lang" in keep:
         rows, ddl = rows.withColumnRenamed("lang", "label"), ddl.replace("`lang`", "`label`")
@@ -253,7 +257,7 @@ def language_spans(df: DataFrame, doc_id: str, text: str, model: Model) -> DataF
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         names = [*shared.value.langs, "und"]
-        for b in batches:
+        for b in parts(batches):
             cols: list[list] = [[] for _ in range(8)]
             texts = b.column(1).to_pylist()
             for i, scores, path in labelled(texts, scorer):
@@ -277,11 +281,7 @@ def named_languages(label: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(codes, lambda p: ~p.isin(*NO_LANGUAGE))))
 
 
-def wrong_labels(languages: DataFrame, doc_id: str, label: str, least_share: float = 0.1) -> DataFrame:
-    """doc_id, lang: each language spoken in documents whose label doesn't name exactly these.
-
-    Grouping is by document: a handful of rows each.
-    """
-    spoken = languages.where((F.col("share") >= least_share) & (F.col("lang") != "und"))
-    sets = spoken.groupBy(doc_id).agg(F.array_sort(F.collect_set("lang")).alias("_spoken"), F.first(label).alias("_label"))
-    return sets.where(named_languages(F.col("_label")) != F.col("_spoken")).select(doc_id, F.explode("_spoken").alias("lang"))
+def wrong_labels(languages: DataFrame, doc_id: str, label: str) -> DataFrame:
+    """doc_id, lang, once each: the languages spoken in documents whose label doesn't name exactly these; only these rows are shuffled."""
+    wrong = F.array_contains("spoken", F.col("lang")) & (named_languages(F.col(label)) != F.col("spoken"))
+    return languages.where(wrong).select(doc_id, "lang").distinct()

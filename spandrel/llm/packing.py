@@ -2,11 +2,13 @@
 
 Variable-capacity best fit: items of a shard are placed in falling order of length, each into the
 open container with the least room that still takes it.  If there is none, a container is opened of
-the size of least cost, where the cost of a size is what it takes to hold all that is still to be
-placed: the number needed, times its capacity and OPENING tokens that any container costs.  So the
-largest size is opened as long as much is left, and smaller ones for the rest.  At the end each container is downsized to the
-smallest permitted capacity that holds its contents.  With one permitted capacity this is best fit
-decreasing.
+the size of least cost.  A size's cost is that of all containers of it that what is still to be placed
+would take: their number, times capacity and ``opening``, the tokens that any container costs besides,
+plus the room that this item leaves in it and that none of the shorter items still to be placed fits.
+So sizes compete for every container: with a high ``opening`` the largest is opened as long as much is
+left, and smaller ones for the rest; without, each item opens the size that it fills best.  At the end
+each container is downsized to the smallest permitted capacity that holds its contents.  With one
+permitted capacity this is best fit decreasing.
 
 Only an item above the largest capacity is split: into full containers of its own and a rest that is
 placed like any other item.
@@ -32,10 +34,12 @@ from pathlib import Path
 
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.functions.arrow import batch, map_arrow, parts
+from spandrel.session import settled
 
 #: What a container costs besides its capacity, in tokens.
 OPENING = 64
@@ -85,21 +89,24 @@ def counter(vocabulary: str) -> TokenCounts:
 
 
 def token_lengths(df: DataFrame, item_id: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """item_id, n_tokens; 0 for null and empty texts."""
+    """item_id, n_tokens; 0 for null and empty texts.  The vocabulary is a file of the driver's; it is sent to the executors."""
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    name = Path(vocabulary).name
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        count = counter(vocabulary).of
+        count = counter(SparkFiles.get(name)).of
         for b in parts(batches):
             yield batch([b.column(0), [count(t) if t else 0 for t in b.column(1).to_pylist()]], schema)
 
     return map_arrow(df.select(item_id, text), run, f"`{item_id}` {df.schema[item_id].dataType.simpleString()}, n_tokens BIGINT")
 
 
-def best_fit(sizes: Sequence[int], capacities: Sequence[int]) -> list[tuple[int, list[int]]]:
+def best_fit(sizes: Sequence[int], capacities: Sequence[int], opening: int = OPENING) -> list[tuple[int, list[int]]]:
     """(capacity, item numbers) of each container; no size may exceed the largest capacity."""
     capacities = sorted(capacities)
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     left = sum(sizes)
+    smallest = sizes[order[-1]] if order else 0
     room: list[tuple[int, int]] = []  # sorted: room left, container
     bins: list[tuple[int, list[int]]] = []
     used: list[int] = []
@@ -109,7 +116,8 @@ def best_fit(sizes: Sequence[int], capacities: Sequence[int]) -> list[tuple[int,
         if at < len(room):
             free, b = room.pop(at)
         else:
-            free = min((c for c in capacities if c >= need), key=lambda c: (-(-left // c) * (c + OPENING), -c))
+            lost = lambda c: c - need if c - need < smallest else 0
+            free = min((c for c in capacities if c >= need), key=lambda c: (-(-left // c) * (c + opening + lost(c)), -c))
             b = len(bins)
             bins.append((free, []))
             used.append(0)
@@ -121,7 +129,7 @@ def best_fit(sizes: Sequence[int], capacities: Sequence[int]) -> list[tuple[int,
     return [(next(c for c in capacities if c >= u), items) for u, (_, items) in zip(used, bins)]
 
 
-def pack(lengths: DataFrame, item_id: str, n_tokens: str, capacities: Sequence[int] = (2048,), shard: int = SHARD, wider: int = WIDER, full: float = FULL) -> DataFrame:
+def pack(lengths: DataFrame, item_id: str, n_tokens: str, capacities: Sequence[int] = (2048,), shard: int = SHARD, wider: int = WIDER, full: float = FULL, opening: int = OPENING) -> DataFrame:
     """item_id, piece, first_token, n_tokens, container, capacity, place: one row per piece of an item.
 
     place is the piece's first token in the container.  lengths are read twice, for their number and
@@ -156,7 +164,7 @@ def pack(lengths: DataFrame, item_id: str, n_tokens: str, capacities: Sequence[i
                         rest.append((rid, piece, first, n))
                     else:
                         add(rid, piece, first, 0, None, None, None)
-                for number, (capacity, inside) in enumerate(best_fit([r[3] for r in rest], capacities)):
+                for number, (capacity, inside) in enumerate(best_fit([r[3] for r in rest], capacities, opening)):
                     kept = final or sum(rest[i][3] for i in inside) >= full * most
                     place = 0
                     for i in inside:
@@ -180,6 +188,7 @@ def pack(lengths: DataFrame, item_id: str, n_tokens: str, capacities: Sequence[i
 
     spread = F.pmod(F.xxhash64("_id"), F.lit(shards)).alias("_shard")
     first = placed(lengths.select(spread, "_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("first_token"), "n_tokens"), "a", False)
+    first = settled(first)  # read for what is kept and for what is placed once more
     unfilled = F.col("container").isNull() & (F.col("n_tokens") > 0)
     second = placed(first.where(unfilled).withColumn("_shard", F.floor(F.col("_shard") / wider)), "b", True)
     return first.where(~unfilled).select(*out).unionByName(second.select(*out)).withColumnRenamed("_id", item_id)

@@ -88,6 +88,25 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(lengths, "doc_id", "n_tokens", (512, 1024, 2048))
 
 
+def p7_by_length(spark: SparkSession, d: str) -> DataFrame:
+    """As p7_containers where opening costs nothing, so that the three lengths compete for every container: containers, tokens and room by length."""
+    lengths = settled(packing.token_lengths(_documents(spark, d), "doc_id", "text"))
+    packed = packing.pack(lengths, "doc_id", "n_tokens", (512, 1024, 2048), opening=0).where("container IS NOT NULL")
+    boxes = packed.groupBy("container", "capacity").agg(F.sum("n_tokens").alias("tokens"))
+    return boxes.groupBy("capacity").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.sum(F.col("capacity") - F.col("tokens")).alias("room"))
+
+
+def p7_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with text, and how many of p7_containers' documents and containers break a rule: split though not above 2,048 tokens, a gap between pieces, too full, an overlap."""
+    packed = p7_containers(spark, d)
+    docs = packed.where("n_tokens > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.countDistinct("piece").alias("numbers"))
+    boxes = packed.where("container IS NOT NULL").groupBy("container").agg(F.sum("n_tokens").alias("n"), F.max("capacity").alias("most"), F.max(F.col("place") + F.col("n_tokens")).alias("end"), F.countDistinct("place").alias("places"), F.count(F.lit(1)).alias("pieces"))
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    a = docs.agg(F.count(F.lit(1)).alias("documents"), n((F.col("pieces") > 1) & (F.col("n") <= 2048)).alias("split"), n((F.col("end") != F.col("n")) | (F.col("numbers") != F.col("pieces"))).alias("torn"))
+    b = boxes.agg(n(F.col("n") > F.col("most")).alias("over_full"), n((F.col("end") != F.col("n")) | (F.col("places") != F.col("pieces"))).alias("overlapping"))
+    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     docs, items = _documents(spark, d), table(spark, d, "eval_items").select("item_id", F.col("text").alias("item_text"))
     return leakage.leaked(docs, "doc_id", "text", items, "item_id", "item_text")
@@ -121,4 +140,4 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_percentiles, p3_within_error, p3_daily_percentiles, p4_found, p4_terms, p6_found, p7_containers, p8_found, p8_passages, p9_found, p9_languages, p9_spans)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_percentiles, p3_within_error, p3_daily_percentiles, p4_found, p4_terms, p6_found, p7_containers, p7_by_length, p7_faults, p8_found, p8_passages, p9_found, p9_languages, p9_spans)}

@@ -5,7 +5,9 @@ end 1, inside a word 0.  A sparse table answers "strongest position in a window,
 in constant time.  A piece starting at ``a`` ends at the strongest position whose distance from ``a``
 is permissible (half the limit up to the limit); if nothing but word insides are there, the shorter
 distances are asked too; if those have none either, the piece is cut at the limit.  The next piece
-starts ``overlap`` characters before that end, moved right to the next word start.
+starts ``overlap`` characters before that end, moved right to the next word start; in scripts without
+spaces every character is one.  If the last word is longer than the overlap, the overlap is the end of
+that word.
 
 Times run evenly over the characters of an item.  A text that is short for its duration is cut so
 that each piece keeps to the time limit; where that leaves less than one character for a piece, time
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.functions.arrow import batch, map_arrow
+from spandrel.functions.arrow import batch, map_arrow, parts
 
 #: Ends of sentences and clauses, and what may stand between them and the space.
 SENTENCE_END = ".!?…。！？؟।"
@@ -37,8 +39,8 @@ CLAUSE_END = ",;:–—、，；：؛،"
 CLOSING = "\"'”’»)]}"
 
 
-@lru_cache(4)
-def _strength_table(limit: int) -> np.ndarray:
+@lru_cache(1)
+def _strength_table() -> np.ndarray:
     """Class of the characters of the basic plane: 0 letter, 1 space, 2 clause end, 3 sentence end, 4 closing mark."""
     kinds = np.zeros(0x110000, np.int8)
     for c in range(0x3100):
@@ -54,7 +56,7 @@ def strengths(text: str) -> np.ndarray:
     """Strength of an end before each position 0..len(text)."""
     n = len(text)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = _strength_table(0)[points]
+    kind = _strength_table()[points]
     # The kind of the last character that is no closing mark, for "word.)" and the like.
     at = np.where(kind == 4, 0, np.arange(n))
     behind = kind[np.maximum.accumulate(at)] if n else kind
@@ -117,11 +119,16 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
 
 
 def _word_start(text: str, at: int, end: int) -> int:
-    """The first start of a word in at..end; end if there is none."""
+    """The first start of a word in at..end; at itself if a word without an end goes through all of it."""
     for i in range(at, end):
-        if not text[i].isspace() and text[i - 1].isspace():
+        if not text[i].isspace() and (text[i - 1].isspace() or _unspaced(text[i])):
             return i
-    return end
+    return at if not text[at].isspace() else end
+
+
+def _unspaced(c: str) -> bool:
+    """Whether a character is of a script that is written without spaces: Thai, Lao, Burmese, Khmer, Kana, Han."""
+    return c > "\u0e00" and (c < "\u0f00" or "\u1000" <= c < "\u10a0" or "\u1780" <= c < "\u1800" or "\u3040" <= c < "\ua000" or "\U00020000" <= c)
 
 
 def pieces_of(text: str | None, start: float | None, end: float | None, max_chars: int, max_seconds: float, overlap: int) -> list[tuple[int, int, float | None, float | None]]:
@@ -154,7 +161,7 @@ def split_oversized(df: DataFrame, item_id: str, text: str, start: Column, end:
     id_type = df.schema[item_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 256):
             out: list[list] = [[] for _ in range(9)]
             for rid, t, a, z in zip(*(b.column(i).to_pylist() for i in range(4))):
                 cut = pieces_of(t, a, z, max_chars, max_seconds, overlap)

@@ -18,6 +18,22 @@ def test_best_fit_is_whole_and_tight():
     assert P.best_fit([], (10,)) == [] and P.best_fit([5, 5, 5], (4, 6, 15)) == [(15, [0, 1, 2])] and P.best_fit([3], (4, 6, 15)) == [(4, [0])]
 
 
+@pytest.mark.parametrize("kind", ["spread", "long", "short", "few"])
+def test_sizes_compete_and_never_take_more_than_one_size(kind):
+    r = random.Random(1)
+    one = {"spread": lambda: min(2048, int(r.lognormvariate(6.3, 0.9)) + 1), "long": lambda: min(2048, int(r.gauss(1100, 300)) + 1), "short": lambda: r.randrange(20, 200), "few": lambda: r.choice((450, 500, 700, 1000))}[kind]
+    sizes = [one() for _ in range(8000)]
+    total = lambda bins: sum(c for c, _ in bins)
+    single = P.best_fit(sizes, (2048,))
+    for opening in (0, 16, 64):
+        bins = P.best_fit(sizes, (512, 1024, 2048), opening)
+        assert sorted(i for _, b in bins for i in b) == list(range(8000))
+        assert all(sum(sizes[i] for i in b) <= c for c, b in bins)
+        assert sum(sizes) <= total(bins) <= total(single)
+    free = P.best_fit(sizes, (512, 1024, 2048), 0)
+    assert len({c for c, _ in free}) > 1 and len(free) >= len(P.best_fit(sizes, (512, 1024, 2048), 64)) >= -(-sum(sizes) // 2048)
+
+
 def check(rows, sizes, capacity):
     items, bins = defaultdict(list), defaultdict(list)
     for i, piece, first, n, container, cap, place in rows:

@@ -70,3 +70,10 @@ def test_very_long_text():
     text = "some words here. " * 60_000
     pieces = S.cut_points(text, 300, 40)
     assert pieces[-1][1] == len(text) and max(b - a for a, b in pieces) <= 300
+
+
+@pytest.mark.parametrize("text", ["\u4e2d\u6587" * 400, "\u0e44\u0e17\u0e22" * 300, "x" * 1000])
+def test_overlap_without_spaces(text):
+    pieces = S.pieces_of(text, None, None, 300, 30.0, 40)
+    assert pieces[0][0] == 0 and pieces[-1][1] == len(text) and all(b - a <= 300 for a, b, *_ in pieces)
+    assert all(p[1] - q[0] == 40 for p, q in zip(pieces, pieces[1:]))
