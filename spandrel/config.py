@@ -34,3 +34,14 @@ class AlignConfig:
     boundary_pad: int = 3
     min_speech_frames: int = 20
     max_blanks: int = 10
+    # Fixed values of the decoding between silences: targets of a long text, and for these a lower
+    # threshold (1 less so much for each frame of width, this at least) and a narrower width; strides
+    # with the part of the frames that a path of the wider one may take; the longest path, as a part of
+    # the frames; states of a path from which on it is banded.
+    long_text: int = 200
+    threshold_step: float = 0.09
+    least_threshold: float = 0.05
+    narrow_silence: int = 3
+    narrower: tuple[tuple[int, float], ...] = ((3, 0.9), (2, 0.8))
+    most_path: float = 1.2
+    band_from: int = 60
