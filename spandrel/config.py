@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -45,3 +45,7 @@ class AlignConfig:
     narrower: tuple[tuple[int, float], ...] = ((3, 0.9), (2, 0.8))
     most_path: float = 1.2
     band_from: int = 60
+
+    def for_groups(self) -> AlignConfig:
+        """The same for the group track, whose blank is the group of noise."""
+        return replace(self, blank_id=self.blank_group)

@@ -62,6 +62,11 @@ def windows(samples: Column, size: int, stride: int) -> Column:
     return F.transform(starts, lambda s: F.slice(samples, s + 1, F.lit(size)))
 
 
+def large_windows(samples: Column, rate: int = 16_000, window_ms: int = 3000, stride_ms: int = 250) -> Column:
+    """Complete windows for whole utterances."""
+    return windows(samples, window_ms * rate // 1000, stride_ms * rate // 1000)
+
+
 def chop_code(start_s: Column, end_s: Column, available: Column, rate: int = 16_000, least: int = 800) -> Column:
     """-1 if fewer than the least samples are asked for, -2 if there are fewer, else 0."""
     asked = F.floor(end_s * rate) - F.floor(start_s * rate)

@@ -77,15 +77,14 @@ def tokens(text: Column, lang: Column) -> Column:
     return F.when(code.isin(*NO_SPACE), words_unspaced(text)).when(code.isin(*OTHER_SCRIPTS), words_spaced(text)).otherwise(words_alpha(text))
 
 
-@F.pandas_udf("string")
-def _composed(label: pd.Series) -> pd.Series:
-    return label.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+def normalised(label: Column) -> Column:
+    """A phone label trimmed and canonically composed, in Arrow batches."""
 
+    @F.pandas_udf("string")
+    def composed(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: unicodedata.normalize("NFC", v).strip(), na_action="ignore")
 
-def normalised(label: Column) -> Column:
-    """A phone label trimmed and canonically composed; what is ASCII never leaves the JVM's filter."""
-    label = F.trim(label)
-    return F.when(label.rlike("^[ -~]*$"), label).otherwise(_composed(label))
+    return composed(label)
 
 
 def vocabulary_stats(df: DataFrame, token: str) -> DataFrame:

@@ -6,59 +6,77 @@ no trained model is at hand.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spandrel.functions.arrow import batch, map_arrow
+from spandrel.functions.arrow import batch, map_arrow, parts
 
-#: A model takes windows (n, samples) and gives scores (n, frames, classes).
-Model = Callable[[np.ndarray], np.ndarray]
+#: A model takes windows (n, samples) and gives scores (n, frames, classes), or a mapping of heads to such.
+Model = Callable[[np.ndarray], "np.ndarray | dict[str, np.ndarray]"]
+#: Heads of a model: scores of phones, of groups, and vectors.
+CLASSES, GROUPS, VECTORS = "classes", "groups", "vectors"
 
 
-def stand_in_model(classes: int = 67, frames: int = 10) -> Model:
-    """Scores from the energy in bands of each frame; the same for the same samples."""
+def stand_in_model(classes: int = 67, frames: int = 10, groups: int = 0, dims: int = 0) -> Model:
+    """Scores from the energy in bands of each frame; the same for the same samples.  Groups and vectors if asked for."""
 
-    def predict(windows: np.ndarray) -> np.ndarray:
+    def predict(windows: np.ndarray) -> np.ndarray | dict[str, np.ndarray]:
         parts = windows[:, : windows.shape[1] // frames * frames].reshape(len(windows), frames, -1)
         spectrum = np.abs(np.fft.rfft(parts, axis=2))
-        at = np.linspace(0, spectrum.shape[2] - 1, classes).astype(int)
-        return np.log1p(spectrum[:, :, at]) * 4
+        bands = lambda n: np.log1p(spectrum[:, :, np.linspace(0, spectrum.shape[2] - 1, n).astype(int)]) * 4
+        if not groups and not dims:
+            return bands(classes)
+        return {CLASSES: bands(classes)} | ({GROUPS: bands(groups)} if groups else {}) | ({VECTORS: bands(dims)} if dims else {})
 
     return predict
 
 
-def onnx_model(path: str, output: str = "phoneme_logits") -> Model:
-    """An exported model, loaded once in each worker."""
+def onnx_model(path: str, outputs: dict[str, str] | str = "phoneme_logits", sample_input: str = "audio_window") -> Model:
+    """An exported network, loaded once in each worker; outputs: a name, or the names by head."""
     state: dict = {}
 
-    def predict(windows: np.ndarray) -> np.ndarray:
+    def predict(windows: np.ndarray) -> np.ndarray | dict[str, np.ndarray]:
         if "session" not in state:
             import onnxruntime
 
             state["session"] = onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
-        return state["session"].run([output], {"audio_window": windows.astype(np.float32)})[0]
+        given = {sample_input: windows.astype(np.float32)}
+        if isinstance(outputs, str):
+            return state["session"].run([outputs], given)[0]
+        return dict(zip(outputs, state["session"].run(list(outputs.values()), given)))
 
     return predict
 
 
-def predicted(df: DataFrame, keys: list[str], samples: str, model: Model, window: int = 1920, stride: int = 1280) -> DataFrame:
-    """keys, w, frames ARRAY<ARRAY<DOUBLE>>: scores of each complete window of each clip."""
+def padded_windows(x: np.ndarray, window: int, stride: int) -> np.ndarray:
+    """Windows that cover all samples, the last one filled up with zeros."""
+    count = 1 + max(0, -(-(len(x) - window) // stride))
+    return np.lib.stride_tricks.sliding_window_view(np.pad(x, (0, window + (count - 1) * stride - len(x))), window)[::stride]
+
+
+def predicted(df: DataFrame, keys: list[str], samples: str, model: Model, window: int = 1920, stride: int = 1280, heads: tuple[str, ...] = (CLASSES,)) -> DataFrame:
+    """keys, w, frames ARRAY<ARRAY<DOUBLE>>: scores of each window of each clip; further heads in columns of their names.
+
+    Clips are filled up with zeros to whole windows, so that short ones have a window too; frames
+    beyond a clip's length are the caller's to cut.  Null and empty clips give no rows.
+    """
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 64):
             for i, x in enumerate(b.column(n).to_pylist()):
-                x = np.asarray(x or [], np.float64)
-                if len(x) >= window:
-                    scores = model(np.lib.stride_tricks.sliding_window_view(x, window)[::stride])
-                    at = pa.array(np.full(len(scores), i))
-                    yield batch([*(b.column(k).take(at) for k in range(n)), np.arange(len(scores), dtype=np.int32), scores.tolist()], schema)
+                if x:
+                    scores = model(padded_windows(np.asarray(x, np.float64), window, stride))
+                    scores = scores if isinstance(scores, dict) else {CLASSES: scores}
+                    at = pa.array(np.full(len(scores[CLASSES]), i))
+                    yield batch([*(b.column(k).take(at) for k in range(n)), np.arange(len(at), dtype=np.int32), *(scores[h].tolist() for h in heads)], schema)
 
     ddl = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return map_arrow(df.select(*keys, samples), run, f"{ddl}, w INT, frames ARRAY<ARRAY<DOUBLE>>")
+    return map_arrow(df.select(*keys, samples), run, f"{ddl}, w INT, " + ", ".join(f"{'frames' if h == CLASSES else h} ARRAY<ARRAY<DOUBLE>>" for h in heads))
 
 
 #: Fixed values of the stand-in pronunciation: phones of letters and letter pairs.
@@ -82,19 +100,19 @@ def phones(word: str) -> list[str]:
 
 
 def pronounced(df: DataFrame, keys: list[str], words: str) -> DataFrame:
-    """keys, word_idx, word, phone_idx, phone: a row per phone of each word; a pause is one SIL."""
+    """keys, word_idx, word, phone_idx, phone: a row per phone of each word, trimmed and canonically composed; a pause is one SIL."""
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[str]] = {}
-        for b in batches:
+        for b in parts(batches):
             rows = []
             for i, ws in enumerate(b.column(n).to_pylist()):
                 for j, w in enumerate(ws or []):
                     if w not in known:
                         if len(known) > 200_000:
                             known.clear()
-                        known[w] = ["SIL"] if w == "<SIL>" else phones(w)
+                        known[w] = ["SIL"] if w == "<SIL>" else [unicodedata.normalize("NFC", p.strip()) for p in phones(w)]
                     rows.extend((i, j, w, k, p) for k, p in enumerate(known[w]))
             cols = [list(c) for c in zip(*rows)] or [[] for _ in range(5)]
             at = pa.array(cols[0], pa.int64())

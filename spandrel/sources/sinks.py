@@ -40,13 +40,33 @@ def text_grids(spans: DataFrame, keys: list[str], tier_no: str, tier_name: str,
     return g.select(*keys, F.concat(head, F.array_join(parts, "")).alias("grid"))
 
 
+def document_grids(documents: DataFrame, keys: list[str], confidence: bool = False) -> DataFrame:
+    """keys, grid: text grids of segment documents with tiers of phonemes, words and, where there is one, the group track."""
+    tiers = [("phoneme_ts", "phoneme_label", "phonemes"), ("words_ts", "word", "words"), ("group_ts", "group_label", "groups")]
+    rows = None
+    for no, (field, label, name) in enumerate(tiers, 1):
+        if field in documents.columns:
+            t = documents.select(*keys, F.posexplode(field).alias("k", "_t"))
+            shown = interval_label(F.col(f"_t.{label}"), F.col("_t.confidence") if confidence else None)
+            t = t.select(*keys, F.lit(no).alias("tier_no"), F.lit(name).alias("tier"), "k", (F.col("_t.start_ms") / 1000).alias("xmin"), (F.col("_t.end_ms") / 1000).alias("xmax"), shown.alias("text"))
+            rows = t if rows is None else rows.unionByName(t)
+    return text_grids(rows, keys, "tier_no", "tier", ["xmin", "k"])
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON document per row; characters stay as they are."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_embeddings(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """Vectors of aligned rows (``align(..., vectors=True)``) as Parquet, without failed rows."""
+    track = [c for c in ("track",) if c in df.columns]
+    df.where("error IS NULL").select("clip_id", "seg_idx", *track, "pos", "label", "vector").write.mode("overwrite").parquet(path)
+
+
+def write_grids(grids: DataFrame, path: str) -> None:
+    """One text file per key's grid, as whole values in a text table."""
+    grids.select("grid").write.mode("overwrite").text(path)
 
 
 def confidence_band(confidence: Column) -> Column:
