@@ -28,6 +28,17 @@ def overlap_added(df: DataFrame, keys: list[str], window: str, frames: Column, p
     return long.groupBy(*keys, "t", "cls").agg((F.sum(F.col("_x") * F.col("_w")) / (F.sum("_w") + 1e-8)).alias("value"))
 
 
+def stitched(scores: np.ndarray) -> np.ndarray:
+    """As ``overlap_added`` for the windows (n, frames, classes) of one clip: (t, classes)."""
+    n, f, c = scores.shape
+    half, weights = f // 2, window_weights(f)
+    total, weight, first = np.zeros((n * half + f, c)), np.zeros(n * half + f), np.arange(n) * half
+    for j, w in enumerate(weights):
+        total[first + j] += scores[:, j] * w
+        weight[first + j] += w
+    return total[: n * half] / (weight[: n * half, None] + 1e-8)
+
+
 def greedy(df: DataFrame, values: Column) -> DataFrame:
     """df with label, its best class, and prob, that class's probability."""
     lp = C.log_softmax(values)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spandrel.config import AlignConfig
 from spandrel.functions import columns as C
-from spandrel.operators import coverage, decoding, frames, text
+from spandrel.operators import coverage, decoding, text
 from spandrel.sources import models, transcripts
 
 SEGMENT = ["clip_id", "seg_idx"]
@@ -39,13 +39,6 @@ def phonemised(segments: DataFrame, alphabet: DataFrame, lang: str, clip: str =
     return s.drop("_w").join(g, [clip, "seg_idx"])
 
 
-def _sequence(scores: DataFrame, head: str) -> DataFrame:
-    """SEGMENT and an array by frame of a head's values."""
-    long = frames.overlap_added(scores, SEGMENT, "w", F.col(head), 10)
-    per_t = long.groupBy(*SEGMENT, "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("cls", "value"))), lambda x: x["value"]).alias("l"))
-    return per_t.groupBy(*SEGMENT).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "l"))), lambda x: x["l"]).alias(head))
-
-
 def align(
     clips: DataFrame, segments: DataFrame, alphabet: DataFrame, cfg: AlignConfig | None = None, model: models.Model | None = None, mode: str = "full",
     mapping: DataFrame | None = None, groups: bool = False, vectors: bool = False,
@@ -74,45 +67,33 @@ def ready(clips, segments, alphabet, cfg=None, model=None, mapping=None, groups=
     s = s.withColumn("wav", C.chopped(F.col("samples"), F.col("start_s"), F.col("end_s"), rate, cfg.duration_max_s)).drop("samples", "code")
     s = s.withColumn("wav_len", F.size("wav"))
     heads = (models.CLASSES, *[models.GROUPS] * groups, *[models.VECTORS] * vectors)
-    scores = models.predicted(s, SEGMENT, "wav", model, window, stride, heads)
-    s = s.drop("wav").withColumn("_keep", C.frame_count(F.col("wav_len"), window, stride, 10))
-    for head in ("frames", *heads[1:]):
-        s = s.join(_sequence(scores.select(*SEGMENT, "w", head), head), SEGMENT)
-        # without the frames that only filled-up samples have
-        s = s.withColumn(head, F.when(F.col("_keep") < F.size(head), F.slice(head, F.lit(1), F.col("_keep").cast("int"))).otherwise(F.col(head)))
-    return s.withColumnRenamed("frames", "logits").drop("_keep")
+    cols = [*SEGMENT, "start_s", "wav_len", "ph66", "pg16", "ipa", "word_num"]
+    s = models.predicted(s, cols, "wav", model, window, stride, heads).withColumn("_keep", C.frame_count(F.col("wav_len"), window, stride, 10).cast("int"))
+    for head in heads:  # without the frames that only filled-up samples have
+        s = s.withColumn(head, F.when(F.col("_keep") < F.size(head), F.slice(head, F.lit(1), F.col("_keep"))).otherwise(F.col(head)))
+    return s.drop("_keep")
 
 
 def _aligned(s: DataFrame, alphabet: DataFrame, cfg: AlignConfig, mode: str, groups: bool, vectors: bool) -> DataFrame:
-    names = alphabet.select("group_id").distinct()
-    about = s.select(*SEGMENT, "start_s", "wav_len", F.size("logits").alias("_t"), "ipa", "word_num", *[models.VECTORS] * vectors)
-    found = decoding.align_segments(s, SEGMENT, "logits", "ph66", cfg, mode, vectors=vectors).withColumn("track", F.lit("phoneme"))
-    if groups:
-        own = cfg.for_groups()
-        found = found.unionByName(decoding.align_segments(s, SEGMENT, models.GROUPS, "pg16", own, mode, vectors=vectors).withColumn("track", F.lit("group")))
-    out = found.join(about, SEGMENT)
-    ms = lambda c: F.col("start_s") * 1000 + C.frame_ms(F.col(c), F.col("wav_len"), F.col("_t"), cfg.sample_rate)
-    out = out.withColumn("start_ms", ms("start_frame")).withColumn("end_ms", ms("end_frame"))
-    at = lambda c: F.when(F.col("target_idx") >= 0, F.try_element_at(c, F.col("target_idx") + 1))
-    out = out.withColumn("ipa_label", F.coalesce(at("ipa"), F.lit("overflow"))).withColumn("word", at("word_num"))
-    if vectors:
-        weight = lambda v, p: F.transform(v, lambda x: x * p)
-        inside = F.slice(F.col(models.VECTORS), F.col("start_frame") + 1, F.greatest(F.col("end_frame") - F.col("start_frame"), F.lit(1)))
-        rows = F.when(F.size("probs") == F.size(inside), F.zip_with(inside, F.col("probs"), weight)).otherwise(inside)
-        total = F.when(F.size("probs") == F.size(inside), C.total(F.col("probs"))).otherwise(F.size(inside).cast("double"))
-        zero = F.array_repeat(F.lit(0.0), F.size(F.element_at(models.VECTORS, 1)))
-        added = F.aggregate(rows, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-        out = out.withColumn("vector", F.when(F.col("start_frame").isNotNull(), F.transform(added, lambda x: x / total)))
-    phones = out.where("track = 'phoneme'").withColumn("phoneme_id", F.col("label")).drop("label")
+    keys = [*SEGMENT, "start_s", "wav_len", "_t"]
+    s = s.withColumn("_t", F.size(models.CLASSES))
+    pool = models.VECTORS if vectors else None
+
+    def track(name: str, head: str, targets: str, own: AlignConfig) -> DataFrame:
+        found = decoding.align_segments(s, keys, head, targets, own, mode, {"ipa_label": "ipa", "word": "word_num"}, pool).withColumn("track", F.lit(name))
+        ms = lambda c: F.col("start_s") * 1000 + C.frame_ms(F.col(c), F.col("wav_len"), F.col("_t"), own.sample_rate)
+        return found.withColumn("start_ms", ms("start_frame")).withColumn("end_ms", ms("end_frame"))
+
     cols = [*SEGMENT, "track", "error", "pos", "phoneme_id", "label", "group_id", "ipa_label", "word", "start_ms", "end_ms", "confidence", "is_estimated", "target_idx", *["vector"] * vectors]
+    phones = track("phoneme", models.CLASSES, "ph66", cfg).withColumnRenamed("label", "phoneme_id").withColumn("ipa_label", F.coalesce("ipa_label", F.lit("overflow")))
     rows = coverage.decoded(phones, alphabet).select(*cols)
-    if groups:
-        g = out.where("track = 'group'").withColumn("group_id", F.col("label")).join(names.withColumnRenamed("group_id", "_g"), F.col("group_id") == F.col("_g"), "left")
-        label = F.concat(F.when(F.col("_g").isNull(), "UNK_").otherwise("group_"), F.col("group_id").cast("string"))
-        g = g.withColumn("label", label).withColumn("phoneme_id", F.lit(None).cast("int")).withColumn("ipa_label", F.lit(None).cast("string"))
-        rows = rows.unionByName(g.select(*cols))
-    place = F.row_number().over(Window.partitionBy(*SEGMENT, "track").orderBy("start_ms", "pos")) - 1
-    return rows.withColumn("pos", F.when(F.col("error").isNull(), place).cast("int"))
+    if not groups:
+        return rows
+    names = alphabet.select(F.col("group_id").alias("_g")).distinct()
+    g = track("group", models.GROUPS, "pg16", cfg.for_groups()).withColumnRenamed("label", "group_id").join(names, F.col("group_id") == F.col("_g"), "left")
+    label = F.concat(F.when(F.col("_g").isNull(), "UNK_").otherwise("group_"), F.col("group_id").cast("string"))
+    g = g.withColumn("label", label).withColumn("phoneme_id", F.lit(None).cast("int")).withColumn("ipa_label", F.lit(None).cast("string"))
+    return rows.unionByName(g.select(*cols))
 
 
 def align_sentence(clips: DataFrame, alphabet: DataFrame, cfg: AlignConfig | None = None, model: models.Model | None = None, **more) -> DataFrame:

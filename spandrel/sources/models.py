@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from spandrel.functions.arrow import batch, map_arrow, parts
+from spandrel.operators import frames
 
 #: A model takes windows (n, samples) and gives scores (n, frames, classes), or a mapping of heads to such.
 Model = Callable[[np.ndarray], "np.ndarray | dict[str, np.ndarray]"]
@@ -21,11 +22,11 @@ Model = Callable[[np.ndarray], "np.ndarray | dict[str, np.ndarray]"]
 CLASSES, GROUPS, VECTORS = "classes", "groups", "vectors"
 
 
-def stand_in_model(classes: int = 67, frames: int = 10, groups: int = 0, dims: int = 0) -> Model:
+def stand_in_model(classes: int = 67, per_window: int = 10, groups: int = 0, dims: int = 0) -> Model:
     """Scores from the energy in bands of each frame; the same for the same samples.  Groups and vectors if asked for."""
 
     def predict(windows: np.ndarray) -> np.ndarray | dict[str, np.ndarray]:
-        parts = windows[:, : windows.shape[1] // frames * frames].reshape(len(windows), frames, -1)
+        parts = windows[:, : windows.shape[1] // per_window * per_window].reshape(len(windows), per_window, -1)
         spectrum = np.abs(np.fft.rfft(parts, axis=2))
         bands = lambda n: np.log1p(spectrum[:, :, np.linspace(0, spectrum.shape[2] - 1, n).astype(int)]) * 4
         if not groups and not dims:
@@ -58,25 +59,30 @@ def padded_windows(x: np.ndarray, window: int, stride: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(np.pad(x, (0, window + (count - 1) * stride - len(x))), window)[::stride]
 
 
-def predicted(df: DataFrame, keys: list[str], samples: str, model: Model, window: int = 1920, stride: int = 1280, heads: tuple[str, ...] = (CLASSES,)) -> DataFrame:
-    """keys, w, frames ARRAY<ARRAY<DOUBLE>>: scores of each window of each clip; further heads in columns of their names.
+def predicted(df: DataFrame, kept: list[str], samples: str, model: Model, window: int = 1920, stride: int = 1280, heads: tuple[str, ...] = (CLASSES,)) -> DataFrame:
+    """The kept columns and, for each head, a column of its name: the values of each clip by frame, ARRAY<ARRAY<DOUBLE>>.
 
-    Clips are filled up with zeros to whole windows, so that short ones have a window too; frames
-    beyond a clip's length are the caller's to cut.  Null and empty clips give no rows.
+    A clip's windows are stitched in the task that made them, so that no frame is shuffled.  Clips are
+    filled up with zeros to whole windows, so that short ones have a window too; frames beyond a
+    clip's length are the caller's to cut.  Null and empty clips give no rows.
     """
-    n = len(keys)
+    n = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        for b in parts(batches, 64):
+        for b in parts(batches, 16):
+            rows, out = [], [[] for _ in heads]
             for i, x in enumerate(b.column(n).to_pylist()):
                 if x:
                     scores = model(padded_windows(np.asarray(x, np.float64), window, stride))
                     scores = scores if isinstance(scores, dict) else {CLASSES: scores}
-                    at = pa.array(np.full(len(scores[CLASSES]), i))
-                    yield batch([*(b.column(k).take(at) for k in range(n)), np.arange(len(at), dtype=np.int32), *(scores[h].tolist() for h in heads)], schema)
-
-    ddl = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return map_arrow(df.select(*keys, samples), run, f"{ddl}, w INT, " + ", ".join(f"{'frames' if h == CLASSES else h} ARRAY<ARRAY<DOUBLE>>" for h in heads))
+                    rows.append(i)
+                    for column, head in zip(out, heads):
+                        column.append(list(frames.stitched(np.asarray(scores[head], np.float64))))
+            at = pa.array(rows, pa.int64())
+            yield batch([*(b.column(k).take(at) for k in range(n)), *out], schema)
+
+    ddl = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in kept)
+    return map_arrow(df.select(*kept, samples), run, ", ".join([ddl, *(f"{h} ARRAY<ARRAY<DOUBLE>>" for h in heads)]))
 
 
 #: Fixed values of the stand-in pronunciation: phones of letters and letter pairs.

@@ -75,8 +75,8 @@ def test_pooled_vectors_equal_numpy(spark, alphabet):
     clips = spark.createDataFrame([("c", x.tolist())], "clip_id string, samples array<double>")
     seg = spark.createDataFrame([("c", 0, 0.0, 1.0, "hello")], "clip_id string, seg_idx int, start_s double, end_s double, text string")
     s = P.ready(clips, seg, alphabet, vectors=True).first()
-    lp = np.asarray(s.logits) - np.log(np.exp(np.asarray(s.logits)).sum(axis=1, keepdims=True))
-    frame = 1000 / len(s.logits)
+    lp = np.asarray(s.classes) - np.log(np.exp(np.asarray(s.classes)).sum(axis=1, keepdims=True))
+    frame = 1000 / len(s.classes)
     for r in P.align(clips, seg, alphabet, vectors=True).collect():
         a, b = round(r.start_ms / frame), round(r.end_ms / frame)
         w = np.exp(lp[a:b, r.phoneme_id])
@@ -147,3 +147,13 @@ def test_windows_cover_all_samples():
     x = np.arange(1.0, 11.0)
     assert models.padded_windows(x, 4, 3).tolist() == [[1, 2, 3, 4], [4, 5, 6, 7], [7, 8, 9, 10]]
     assert models.padded_windows(x[:2], 4, 3).tolist() == [[1, 2, 0, 0]] and models.padded_windows(x[:5], 4, 3).tolist() == [[1, 2, 3, 4], [4, 5, 0, 0]]
+
+
+def test_stitching_equals_overlap_add(spark):
+    from spandrel.operators import frames
+
+    scores = np.random.default_rng(4).normal(size=(7, 10, 3))
+    df = spark.createDataFrame([(0, w, x.tolist()) for w, x in enumerate(scores)], "k int, w int, f array<array<double>>")
+    long = {(r.t, r.cls): r.value for r in frames.overlap_added(df, ["k"], "w", F.col("f"), 10).collect()}
+    short = frames.stitched(scores)
+    assert len(long) == short.size and all(short[t, c] == pytest.approx(v, abs=1e-9) for (t, c), v in long.items())
