@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spandrel.config import AlignConfig
 from spandrel.functions import columns as C
 from spandrel.operators import coverage, decoding, frames, islands, raster, signal, text
+from spandrel.plans import pipeline
 from spandrel.plans.catalogue_sql import SQL
 from spandrel.sources import models, presets, sinks, transcripts
 from spandrel.streaming import sessions
@@ -193,9 +194,9 @@ def hop_windows(spark, d):
 
 @query
 def rms_normalise(spark, d):
-    e = _events(spark, d)
-    rms = e.groupBy("user_id").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
-    return e.join(rms, "user_id").select("event_id", F.round(F.when(F.col("rms") > 0, F.col("value") / F.col("rms")).otherwise(F.col("value")), 5).alias("value"))
+    """Vectors as the samples of short clips."""
+    e = table(spark, d, "embeddings").select("vec_id", C.rms_normalised(F.transform("embedding", lambda x: x.cast("double"))).alias("x"))
+    return e.select("vec_id", F.posexplode("x").alias("pos", "value")).withColumn("value", F.round("value", 5))
 
 
 def _quiet(spark, d):
@@ -265,8 +266,10 @@ def chop_codes(spark, d):
 # --- segments and their phonemes
 
 
-def _segments(spark, d):
-    return coverage.latest(table(spark, d, "segments").select("seg_uid", "clip_id", "seg_idx", "ph66", "ipa", "word_num", "words", "text", "start_s", "end_s", "loaded_at"), SEGMENT, ["loaded_at", "seg_uid"])
+def _segments(spark, d, *columns):
+    """Each segment's last delivery, with the columns that are asked for; only these are read and shuffled."""
+    cols = dict.fromkeys(["seg_uid", *SEGMENT, *columns, "loaded_at"])
+    return coverage.latest(table(spark, d, "segments").select(*cols), SEGMENT, ["loaded_at", "seg_uid"])
 
 
 def _phonemes(spark, d):
@@ -284,7 +287,7 @@ def id_lookup_default(spark, d):
 
 @query
 def ipa_by_position(spark, d):
-    s = _segments(spark, d).select(*SEGMENT, "ipa")
+    s = _segments(spark, d, "ipa").select(*SEGMENT, "ipa")
     idx = F.col("target_seq_idx")
     label = F.when(idx >= 0, F.try_element_at("ipa", idx + 1))
     return _phonemes(spark, d).select("row_id", *SEGMENT, "target_seq_idx").join(s, SEGMENT).select("row_id", F.coalesce(label, F.lit("overflow")).alias("ipa"))
@@ -292,26 +295,26 @@ def ipa_by_position(spark, d):
 
 @query
 def group_map(spark, d):
-    t = coverage.decoded(coverage.targets(_segments(spark, d)), table(spark, d, "alphabet"))
+    t = coverage.decoded(coverage.targets(_segments(spark, d, "ph66")), table(spark, d, "alphabet"))
     return t.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def coverage_counts(spark, d):
-    c = coverage.target_counts(coverage.targets(_segments(spark, d)), _phonemes(spark, d))
+    c = coverage.target_counts(coverage.targets(_segments(spark, d, "ph66")), _phonemes(spark, d))
     return c.select(*SEGMENT, "target_idx", "n")
 
 
 @query
 def invalid_targets(spark, d):
-    return coverage.invalid_rows(coverage.targets(_segments(spark, d)), _phonemes(spark, d).where("target_seq_idx IS NOT NULL")).select("row_id")
+    return coverage.invalid_rows(coverage.targets(_segments(spark, d, "ph66")), _phonemes(spark, d).where("target_seq_idx IS NOT NULL")).select("row_id")
 
 
 @query
 def coverage_sets(spark, d):
     """Sets of ids are bounded by the alphabet and unknown ids, not by the rows of a segment."""
     a = _phonemes(spark, d).where("phoneme_id IS NOT NULL").groupBy(*SEGMENT).agg(F.collect_set("phoneme_id").alias("ids"))
-    s = _segments(spark, d).where("ph66 IS NOT NULL").select(*SEGMENT, "ph66").join(a, SEGMENT).withColumn("c", C.coverage(F.col("ph66"), F.col("ids")))
+    s = _segments(spark, d, "ph66").where("ph66 IS NOT NULL").select(*SEGMENT, "ph66").join(a, SEGMENT).withColumn("c", C.coverage(F.col("ph66"), F.col("ids")))
     return s.select(*SEGMENT, *(f"c.{x}" for x in ("target_count", "aligned_count", "missing_count", "extra_count")), F.round("c.coverage_ratio", 5).alias("coverage_ratio"), "c.bad_alignment")
 
 
@@ -329,7 +332,7 @@ def merge_repeats(spark, d):
 
 @query
 def missing_gap_fill(spark, d):
-    return coverage.estimated(coverage.targets(_segments(spark, d)), _once(spark, d))
+    return coverage.estimated(coverage.targets(_segments(spark, d, "ph66")), _once(spark, d))
 
 
 @query
@@ -337,7 +340,7 @@ def sequence_match(spark, d):
     """Whether the aligned ids are the targets, by comparing position by position."""
     a = islands.indexed(_phonemes(spark, d).where(VALID), SEGMENT, F.floor(F.col("start_ms") / coverage.PIECE_MS), ["start_ms", "row_id"])
     a = a.select(*SEGMENT, F.col("phoneme_id").alias("got"), F.col("idx").cast("int").alias("target_idx"))
-    t = coverage.targets(_segments(spark, d)).select(*SEGMENT, "target_idx", F.col("phoneme_id").alias("want"))
+    t = coverage.targets(_segments(spark, d, "ph66")).select(*SEGMENT, "target_idx", F.col("phoneme_id").alias("want"))
     j = t.join(a, [*SEGMENT, "target_idx"], "full_outer")
     return j.groupBy(*SEGMENT).agg(F.min(F.col("got").eqNullSafe(F.col("want")).cast("int")).alias("same"))
 
@@ -351,7 +354,7 @@ def confidence_qa(spark, d):
 
 def _word_rows(spark, d):
     p = _phonemes(spark, d).where(VALID).where("confidence IS NOT NULL AND NOT isnan(confidence) AND target_seq_idx >= 0")
-    s = _segments(spark, d).select(*SEGMENT, "word_num")
+    s = _segments(spark, d, "word_num").select(*SEGMENT, "word_num")
     return p.join(s, SEGMENT).withColumn("w", F.try_element_at("word_num", F.col("target_seq_idx") + 1)).where("w IS NOT NULL")
 
 
@@ -381,16 +384,17 @@ def segment_totals(spark, d):
 @query
 def clip_regroup(spark, d):
     """Texts of a clip in order; a clip's segments are bounded by its length in time."""
-    s = _segments(spark, d).groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", F.coalesce("text", F.lit("")).alias("x")))).alias("s"))
+    s = _segments(spark, d, "text").groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", F.coalesce("text", F.lit("")).alias("x")))).alias("s"))
     return s.select("clip_id", F.size("s").cast("bigint").alias("n"), F.array_join(F.transform("s", lambda x: x["x"]), " | ").alias("text"))
 
 
 @query
 def json_envelope(spark, d):
     """A clip's document written as JSON and read again."""
-    s = _segments(spark, d).where("text IS NOT NULL").groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text"))).alias("segments"))
+    s = _segments(spark, d, "text", "start_s", "end_s").where("text IS NOT NULL").groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text"))).alias("segments"))
     j = s.select("clip_id", F.to_json(F.struct("segments")).alias("j")).select("clip_id", F.from_json("j", transcripts.SCHEMA)["segments"].alias("segments"))
-    return j.select("clip_id", F.posexplode("segments").alias("pos", "s")).select("clip_id", "pos", "s.text")
+    f = j.select("clip_id", F.filter("segments", lambda x: x["start"].isNotNull() & x["end"].isNotNull()).alias("segments"))
+    return transcripts.flattened(f, "clip_id").select("clip_id", F.col("seg_idx").alias("pos"), "text")
 
 
 @query
@@ -534,3 +538,84 @@ def pronounce(spark, d):
     """Phones of every word by the stand-in pronunciation."""
     t = _texts(spark, d).select("seg_uid", text.words_alpha(F.col("text")).alias("words"))
     return models.pronounced(t, ["seg_uid"], "words")
+
+
+@query
+def tokenise_by_language(spark, d):
+    """Each text by the tokeniser of one of five languages in turn."""
+    lang = F.element_at(F.array(*map(F.lit, ("en", "hi", "zh-CN", "de", "ar"))), (F.col("seg_uid") % 5 + 1).cast("int"))
+    return _texts(spark, d).select("seg_uid", F.posexplode(text.tokens(F.col("text"), lang)).alias("pos", "token"))
+
+
+@query
+def ipa_normalise(spark, d):
+    """Distinct labels with their canonical form."""
+    labels = _phonemes(spark, d).where("ipa_label IS NOT NULL").select("ipa_label").distinct()
+    return labels.select("ipa_label", text.normalised(F.col("ipa_label")).alias("form"))
+
+
+def _phones(spark, d):
+    return table(spark, d, "alphabet").select("phoneme_label")
+
+
+def _spellings(spark, d):
+    """The agreed spellings as a mapping to the alphabet's labels."""
+    return table(spark, d, "alphabet").select(F.col("ipa_label").alias("label"), F.array("phoneme_label").alias("phones"))
+
+
+@query
+def label_mapping(spark, d):
+    """What each distinct spelling stands for, and by which way."""
+    m = text.mapped_labels(_phonemes(spark, d), "ipa_label", _spellings(spark, d), _phones(spark, d))
+    return m.select("ipa_label", F.array_join("phones", " ").alias("phones"), "way")
+
+
+@query
+def phone_expansion(spark, d):
+    """Each row's spelling as phones of the alphabet, noise left out."""
+    rows = _phonemes(spark, d).where("ipa_label IS NOT NULL").select("row_id", "ipa_label")
+    return text.expanded_phones(rows, "ipa_label", _spellings(spark, d), _phones(spark, d)).select("row_id", "part", "mapped", "ipa")
+
+
+@query
+def mapping_faults(spark, d):
+    """The labels that rows have for each spelling, as a mapping that should be single-valued and closed."""
+    m = _phonemes(spark, d).where("ipa_label IS NOT NULL AND phoneme_label IS NOT NULL").select("ipa_label", "phoneme_label").distinct()
+    return text.mapping_faults(m, _phones(spark, d), "ipa_label", "phoneme_label")
+
+
+def _documents_of_rows(spark, d):
+    """Documents of the rows that are there, in place of an alignment."""
+    p = _phonemes(spark, d).where(VALID).where("confidence IS NOT NULL AND NOT isnan(confidence) AND phoneme_id IS NOT NULL")
+    s = _segments(spark, d, "text", "start_s", "end_s", "ph66", "pg16", "ipa", "words", "word_num").where("ph66 IS NOT NULL")
+    a = p.join(s.select(*SEGMENT, "word_num"), SEGMENT)
+    word = F.when(F.col("target_seq_idx") >= 0, F.try_element_at("word_num", F.col("target_seq_idx") + 1))
+    a = a.select(
+        *SEGMENT, F.lit(None).cast("string").alias("error"), F.col("ph_index").alias("pos"), "phoneme_id", F.col("phoneme_label").alias("label"), "ipa_label", word.alias("word"),
+        "start_ms", "end_ms", "confidence", "is_estimated", F.col("target_seq_idx").alias("target_idx"),
+    )
+    return pipeline.segment_documents(a, s, table(spark, d, "alphabet"))
+
+
+@query
+def segment_documents(spark, d):
+    """Sizes of each segment's document."""
+    g = _documents_of_rows(spark, d)
+    c = F.col("coverage_analysis")
+    return g.select(
+        *SEGMENT, F.size("phoneme_ts").alias("phones"), F.size("words_ts").alias("spans"), c["target_count"].alias("target_count"), c["aligned_count"].alias("aligned_count"), F.round(c["coverage_ratio"], 5).alias("coverage_ratio"),
+        F.size(c["missing_phonemes"]).alias("missing"), F.size(c["extra_phonemes"]).alias("extra"), F.size(F.filter("phoneme_ts", lambda x: x["confidence"] > 0.5)).alias("confident"),
+    )
+
+
+@query
+def large_windows(spark, d):
+    """Windows of vectors as of utterances: 40 samples, 5 apart."""
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode(C.large_windows(F.col("embedding"), 1000, 40, 5)).alias("w", "x"))
+    return e.select("vec_id", "w", F.round(F.element_at("x", 1).cast("double"), 5).alias("first"), F.size("x").alias("n"))
+
+
+@query
+def alignment_totals(spark, d):
+    a = _phonemes(spark, d).where(VALID).where("confidence BETWEEN 0 AND 1").withColumn("error", F.lit(None).cast("string"))
+    return pipeline.totals(a).select("segments", "failed", "phonemes", "estimated", F.round("confidence", 5).alias("confidence"), F.round("ms", 4).alias("ms"))

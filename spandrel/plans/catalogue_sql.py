@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from spandrel.operators.text import ENDERS, PAUSES, _class
+
 _FRAMES = """
 f0 AS (SELECT vec_id, vec_id // 50 AS seg, vec_id % 50 AS t, label AS own, embedding, list_transform(embedding, lambda x: 20 * x::DOUBLE) AS l FROM embeddings),
 f1 AS (SELECT *, list_max(l) AS mx FROM f0),
@@ -36,7 +38,7 @@ def _quiet(k: int, threshold: float, name: str, only: str = "true") -> str:
 
 
 _Q = "WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events), q AS (SELECT user_id, idx, exp(-value / 50) AS p, count(*) OVER (PARTITION BY user_id) AS len FROM e)"
-_V = "start_ms IS NOT NULL AND end_ms IS NOT NULL AND NOT isnan(start_ms) AND NOT isnan(end_ms) AND end_ms > start_ms AND end_ms - start_ms <= 60000"
+_V = "start_ms IS NOT NULL AND end_ms IS NOT NULL AND NOT isnan(start_ms) AND NOT isnan(end_ms) AND end_ms > start_ms AND isfinite(start_ms) AND isfinite(end_ms)"
 _LATEST = "s AS (SELECT * FROM segments QUALIFY row_number() OVER (PARTITION BY clip_id, seg_idx ORDER BY loaded_at DESC NULLS LAST, seg_uid DESC) = 1)"
 _TARGETS = _LATEST + ", tgt AS (SELECT clip_id, seg_idx, (generate_subscripts(ph66, 1) - 1)::INT AS target_idx, unnest(ph66) AS phoneme_id FROM s)"
 _ONCE = f"""
@@ -131,7 +133,11 @@ SELECT seg, min(label)::INT AS label, min(t)::INT AS start_frame, (max(t) + 1)::
 WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, count(*) OVER (PARTITION BY user_id) AS len FROM events),
 w AS (SELECT user_id, len, unnest(range(0, (len - 8) // 4 + 1)) AS w FROM (SELECT DISTINCT user_id, len FROM e WHERE len >= 8))
 SELECT w.user_id, w.w, count(*) AS n, round(sum(e.value), 4) AS total, min(e.idx) AS first_idx FROM w JOIN e ON e.user_id = w.user_id AND e.idx BETWEEN w.w * 4 AND w.w * 4 + 7 GROUP BY w.user_id, w.w""",
-    "rms_normalise": "WITH m AS (SELECT event_id, value, sqrt(avg(value * value) OVER (PARTITION BY user_id)) AS r FROM events) SELECT event_id, round(CASE WHEN r > 0 THEN value / r ELSE value END, 5) AS value FROM m",
+    "rms_normalise": """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+r AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x)) / len(v)) AS r FROM e),
+u AS (SELECT vec_id, r, unnest(range(len(v)))::INT AS pos, unnest(v) AS x FROM r)
+SELECT vec_id, pos, round(CASE WHEN r > 0 THEN x / r ELSE x END, 5) AS value FROM u""",
     "silence_runs": _Q + "," + _quiet(5, 0.5, "a") + " SELECT user_id, start_idx, end_idx FROM a",
     "silence_backoff": _Q
     + ","
@@ -200,7 +206,7 @@ SELECT clip_id, seg_idx, phones, round(weak, 5) AS weak, round(early, 5) AS earl
     "rollup_hierarchy": f"SELECT clip_id, seg_idx, count(*) AS phones, round(sum(end_ms - start_ms), 6) AS ms, sum(is_estimated::INT)::BIGINT AS estimated, grouping_id(clip_id, seg_idx)::INT AS level FROM phoneme_ts WHERE {_V} GROUP BY ROLLUP (clip_id, seg_idx)",
     "segment_totals": f"SELECT count(*) AS phones, count(DISTINCT clip_id) AS clips, round(avg(confidence), 5) AS confidence, round(max(end_ms) / 1000, 3) AS xmax FROM phoneme_ts WHERE {_V} AND confidence BETWEEN 0 AND 1",
     "clip_regroup": f"WITH {_LATEST} SELECT clip_id, count(*) AS n, string_agg(coalesce(text, ''), ' | ' ORDER BY seg_idx) AS text FROM s GROUP BY clip_id",
-    "json_envelope": f"WITH {_LATEST} SELECT clip_id, (row_number() OVER (PARTITION BY clip_id ORDER BY seg_idx) - 1)::INT AS pos, text FROM s WHERE text IS NOT NULL",
+    "json_envelope": f"WITH {_LATEST} SELECT clip_id, (row_number() OVER (PARTITION BY clip_id ORDER BY seg_idx) - 1)::INT AS pos, text FROM s WHERE text IS NOT NULL AND start_s IS NOT NULL AND end_s IS NOT NULL",
     "validate_reject": """
 SELECT seg_uid, CASE WHEN start_s IS NULL OR end_s IS NULL OR text IS NULL THEN 'missing required keys' ELSE 'no targets' END AS why FROM segments
 WHERE start_s IS NULL OR end_s IS NULL OR text IS NULL OR coalesce(len(ph66), 0) < 1""",
@@ -250,3 +256,63 @@ WITH l AS (SELECT DISTINCT ipa_label FROM phoneme_ts WHERE ipa_label IS NOT NULL
 b AS (SELECT ipa_label, regexp_replace(ipa_label, '[:ː]', '', 'g') AS base FROM l)
 SELECT ipa_label, CASE WHEN regexp_matches(ipa_label, '[rɹɚ]') THEN 'ɚ' WHEN regexp_matches(ipa_label, '[:ː]') AND base IN (SELECT phoneme_label FROM alphabet) THEN base
   WHEN contains(ipa_label, 'ə') THEN 'ə' WHEN substring(ipa_label, 1, 1) IN (SELECT phoneme_label FROM alphabet) THEN substring(ipa_label, 1, 1) ELSE 'noise' END AS phone FROM b"""
+
+
+# --- tokenisers by language, phone mapping, documents
+
+_ALL_MARKS = _class(ENDERS + PAUSES)
+_PAUSE_OF = f"CASE WHEN length(c) = 1 AND contains('{ENDERS}', c) THEN ['<SIL>', '<SIL>'] WHEN length(c) = 1 AND contains('{PAUSES}', c) THEN ['<SIL>'] ELSE"
+_ALPHA_LIST = "list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[.,!?;:]'), lambda x: CASE WHEN x IN ('.', ',', '!', '?', ';', ':') THEN '<SIL>' ELSE x END)"
+_UNSPACED_LIST = f"flatten(list_transform(regexp_extract_all(text, '<SIL>|\\S'), lambda c: {_PAUSE_OF} [c] END))"
+_OF_MARKS = f"flatten(list_transform(list_filter(string_split({{}}, ''), lambda c: c <> ''), lambda c: {_PAUSE_OF} []::VARCHAR[] END))"
+_CORE = f"regexp_replace(regexp_replace(t, '^{_ALL_MARKS}*', ''), '{_ALL_MARKS}*$', '')"
+_PARTS = f"""CASE WHEN t = '<SIL>' THEN ['<SIL>'] WHEN {_CORE} = '' THEN {_OF_MARKS.format("t")}
+  ELSE list_concat(list_concat({_OF_MARKS.format(f"regexp_extract(t, '^{_ALL_MARKS}*')")}, [{_CORE}]), {_OF_MARKS.format(f"regexp_extract(t, '{_ALL_MARKS}*$')")}) END"""
+_SPACED_LIST = f"flatten(list_transform(regexp_extract_all(replace(text, '<SIL>', ' <SIL> '), '\\S+'), lambda t: {_PARTS}))"
+
+
+def _tokens_of(lists: str) -> str:
+    return f"""
+WITH l AS (SELECT seg_uid, {lists} AS x FROM segments WHERE text IS NOT NULL)
+SELECT seg_uid, unnest(range(len(x)))::INT AS pos, unnest(x) AS token FROM l"""
+
+
+SQL["tokenise_unspaced"] = _tokens_of(_UNSPACED_LIST)
+SQL["tokenise_spaced"] = _tokens_of(_SPACED_LIST)
+SQL["tokenise_by_language"] = _tokens_of(f"CASE seg_uid % 5 WHEN 1 THEN {_SPACED_LIST} WHEN 4 THEN {_SPACED_LIST} WHEN 2 THEN {_UNSPACED_LIST} ELSE {_ALPHA_LIST} END")
+_AT_ENDS = "[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+"
+SQL["ipa_normalise"] = f"SELECT DISTINCT ipa_label, regexp_replace(nfc_normalize(ipa_label), '^{_AT_ENDS}|{_AT_ENDS}$', '', 'g') AS form FROM phoneme_ts WHERE ipa_label IS NOT NULL"
+SQL["label_mapping"] = f"""
+WITH RECURSIVE k AS (SELECT list(phoneme_label) AS ks FROM alphabet),
+d AS (SELECT DISTINCT ipa_label AS l FROM phoneme_ts WHERE ipa_label IS NOT NULL),
+cs AS (SELECT * FROM ({SQL["compound_split"]})),
+g(l, rest, p) AS (
+  SELECT l, l, []::VARCHAR[] FROM d UNION ALL
+  SELECT l, substring(rest, greatest(n, 1) + 1), CASE WHEN n > 0 THEN list_append(p, substring(rest, 1, n)) ELSE p END
+  FROM (SELECT l, rest, p, coalesce(list_max(list_transform(list_filter(ks, lambda x: starts_with(rest, x)), lambda x: length(x))), 0)::BIGINT AS n FROM g, k WHERE length(rest) > 0)),
+r AS (SELECT l, array_to_string(p, ' ') AS p FROM g WHERE length(rest) = 0),
+m AS (SELECT ipa_label AS l, min(phoneme_label) AS p FROM alphabet GROUP BY 1)
+SELECT d.l AS ipa_label,
+  CASE WHEN d.l IN (SELECT phoneme_label FROM alphabet) THEN d.l WHEN m.p IS NOT NULL THEN m.p WHEN cs."left" IS NOT NULL THEN cs."left" || ' ' || cs."right" WHEN r.p <> '' THEN r.p ELSE 'noise' END AS phones,
+  CASE WHEN d.l IN (SELECT phoneme_label FROM alphabet) THEN 'direct' WHEN m.p IS NOT NULL THEN 'compound' WHEN cs."left" IS NOT NULL THEN 'split' WHEN r.p <> '' THEN 'greedy' ELSE 'noise' END AS way
+FROM d LEFT JOIN m USING (l) LEFT JOIN cs ON cs.ipa_label = d.l LEFT JOIN r USING (l)"""
+SQL["phone_expansion"] = """
+WITH m AS (SELECT phoneme_label AS l, phoneme_label AS p FROM alphabet UNION SELECT ipa_label, phoneme_label FROM alphabet WHERE ipa_label NOT IN (SELECT phoneme_label FROM alphabet))
+SELECT row_id, 0 AS part, m.p AS mapped, ipa_label AS ipa FROM phoneme_ts JOIN m ON ipa_label = m.l WHERE m.p <> 'noise'"""
+SQL["mapping_faults"] = """
+WITH m AS (SELECT DISTINCT ipa_label AS label, phoneme_label AS phone FROM phoneme_ts WHERE ipa_label IS NOT NULL AND phoneme_label IS NOT NULL)
+SELECT label, 'repeated' AS fault FROM m GROUP BY label HAVING count(DISTINCT phone) > 1
+UNION SELECT label, 'unknown' FROM m WHERE phone NOT IN (SELECT phoneme_label FROM alphabet)
+UNION SELECT a.label, CASE WHEN b.phone = a.label THEN 'cycle' ELSE 'chain' END FROM m a JOIN m b ON a.phone = b.label WHERE a.label <> a.phone AND b.label <> b.phone"""
+SQL["segment_documents"] = f"""
+WITH {_LATEST}, w AS (SELECT clip_id, seg_idx, ph66, word_num FROM s WHERE ph66 IS NOT NULL),
+p AS (SELECT p.*, CASE WHEN target_seq_idx >= 0 THEN w.word_num[target_seq_idx + 1] END AS word FROM phoneme_ts p JOIN w USING (clip_id, seg_idx) WHERE {_V} AND confidence IS NOT NULL AND NOT isnan(confidence) AND phoneme_id IS NOT NULL),
+g AS (SELECT clip_id, seg_idx, count(*) AS phones, count(DISTINCT word) AS spans, list(DISTINCT phoneme_id) AS ids, count(*) FILTER (confidence > 0.5) AS c FROM p GROUP BY 1, 2),
+j AS (SELECT w.clip_id, w.seg_idx, list_distinct(ph66) AS t, coalesce(ids, []) AS a, coalesce(phones, 0) AS phones, coalesce(spans, 0) AS spans, coalesce(c, 0) AS c FROM w LEFT JOIN g USING (clip_id, seg_idx)),
+b AS (SELECT *, len(list_intersect(t, a)) AS n FROM j)
+SELECT clip_id, seg_idx, phones::INT AS phones, spans::INT AS spans, len(t)::INT AS target_count, len(a)::INT AS aligned_count, round(CASE WHEN len(t) > 0 THEN n / len(t) ELSE 1 END, 5) AS coverage_ratio,
+  (len(t) - n)::INT AS missing, (len(a) - n)::INT AS extra, c::INT AS confident FROM b"""
+SQL["large_windows"] = "SELECT vec_id, w::INT AS w, round(embedding[w * 5 + 1]::DOUBLE, 5) AS first, 40 AS n FROM embeddings, (SELECT unnest(range(5)) AS w)"
+SQL["alignment_totals"] = f"""
+SELECT count(DISTINCT struct_pack(c := clip_id, s := seg_idx)) FILTER (clip_id IS NOT NULL AND seg_idx IS NOT NULL) AS segments, 0::BIGINT AS failed, count(*) AS phonemes,
+  sum(is_estimated::INT)::BIGINT AS estimated, round(avg(confidence), 5) AS confidence, round(avg(end_ms - start_ms), 4) AS ms FROM phoneme_ts WHERE {_V} AND confidence BETWEEN 0 AND 1"""
