@@ -33,6 +33,30 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).where("oversized").drop("oversized")
 
 
+def p2_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Each oversized item with the rules its pieces break: text not covered, a piece over a limit, no progress, overlap or its place, an end inside a word though a word ended after the overlap, times out of order."""
+    p = _pieces(spark, d).where("oversized")
+    row = F.struct("piece", "char_start", "char_end", "piece_text", "piece_start_s", "piece_end_s")
+    g = p.groupBy("seg_uid").agg(F.array_sort(F.collect_list(row)).alias("p"), F.first("n_pieces").alias("n"))
+    t = table(spark, d, "segments").select("seg_uid", "text", "start_s", "end_s")
+    size = F.coalesce(F.char_length("text"), F.lit(0))
+    timed = F.coalesce((F.col("end_s") > F.col("start_s")) & ~F.isnan("start_s") & ~F.isnan("end_s"), F.lit(False))
+    seconds = F.when(timed, F.col("end_s") - F.col("start_s")).otherwise(0.0)
+    pairs = F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("a"), F.slice("p", F.lit(2), F.size("p") - 1).alias("b"))
+    over = lambda x: ((x["char_end"] - x["char_start"]) > 300) | F.coalesce(x["piece_end_s"] - x["piece_start_s"] > 30 + 1e-6, F.lit(False))
+    torn = lambda x: (x["a"]["char_end"] < x["b"]["char_start"]) | (x["a"]["char_end"] >= x["b"]["char_end"]) | (x["a"]["char_start"] > x["b"]["char_start"])
+    far = lambda x: x["a"]["char_end"] - x["b"]["char_start"] > 40
+    inside = lambda x: ~F.substr(F.col("text"), x["a"]["char_end"] + 1, F.lit(1)).rlike(r"\s") & F.substr(x["a"]["piece_text"], F.lit(42)).rlike(r"\s\S")
+    late = lambda x: F.coalesce((x["b"]["piece_start_s"] > x["a"]["piece_end_s"] + 1e-6) | (x["b"]["piece_end_s"] <= x["a"]["piece_end_s"]), F.lit(False))
+    text_of = lambda x: x["piece_text"] != F.substr(F.col("text"), x["char_start"] + 1, x["char_end"] - x["char_start"])
+    short = size * 30 < seconds  # less than a character for a piece: shared out without regard to words
+    bad = (
+        (F.size("p") != F.col("n")) | (F.col("p")[0]["char_start"] != 0) | (F.element_at("p", -1)["char_end"] != size) | F.exists("p", over)
+        | (~short & (F.exists(pairs, torn) | F.exists(pairs, far) | F.exists(pairs, inside) | F.exists(pairs, late))) | F.coalesce(F.exists("p", text_of), F.lit(False))
+    )
+    return g.join(t, "seg_uid").select("seg_uid", bad.alias("faulty"))
+
+
 def _daily(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "phoneme_ts").select("phoneme_label", F.to_date("loaded_at").alias("loaded_on"), "confidence")
     return percentiles.sketches(rows, ["phoneme_label", "loaded_on"], F.col("confidence"), 0.0, 1.0)
@@ -140,4 +164,4 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_percentiles, p3_within_error, p3_daily_percentiles, p4_found, p4_terms, p6_found, p7_containers, p7_by_length, p7_faults, p8_found, p8_passages, p9_found, p9_languages, p9_spans)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p2_faults, p3_percentiles, p3_within_error, p3_daily_percentiles, p4_found, p4_terms, p6_found, p7_containers, p7_by_length, p7_faults, p8_found, p8_passages, p9_found, p9_languages, p9_spans)}
