@@ -65,28 +65,56 @@ def hopping(df: DataFrame, keys: list[str], piece: Column, order: list, size: in
     return w.where(F.col("_top") >= first).withColumn("w", F.explode(F.sequence(first, F.col("_top")))).drop("_last", "_top")
 
 
-def silent_runs(df: DataFrame, keys: list[str], idx: str, prob: Column, k: int, threshold: float, slice_rows: int = 65_536) -> DataFrame:
-    """keys, start_idx, end_idx: stretches where the mean of k values from each place on reaches the threshold.
+def joined_by_slice(df: DataFrame, narrow: DataFrame, keys: list[str], slice_name: str = "_slice") -> DataFrame:
+    """df with the further columns of narrow, which has a row for each key and slice; nulls are equal."""
+    n = narrow.select(*(F.col(k).alias(f"_n{i}") for i, k in enumerate(keys)), F.col(slice_name).alias("_ns"), *(c for c in narrow.columns if c not in (*keys, slice_name)))
+    on = df[slice_name].eqNullSafe(n["_ns"])
+    for i, k in enumerate(keys):
+        on = on & df[k].eqNullSafe(n[f"_n{i}"])
+    return df.join(n, on).drop("_ns", *(f"_n{i}" for i in range(len(keys))))
+
+
+def silent_runs(df: DataFrame, keys: list[str], idx: str, prob: Column, rules: dict[int, tuple[int, float, Column | None]], slice_rows: int = 65_536) -> DataFrame:
+    """keys, step, start_idx, end_idx: for each rule (k, threshold, which rows it is for) the stretches where the mean of k values from each place on reaches the threshold.
 
     A stretch ends k - 1 after its last place, and at the end of the sequence if it gets there.
+    Sequences are scanned in slices that also have the first rows of the next one, once for all rules;
+    only the stretches at the edges of slices meet in a window over a sequence.
     """
-    last = df.groupBy(*keys).agg((F.max(idx) + 1).alias("_len"))
-    spread = df.select(*keys, F.explode(F.sequence(F.greatest(F.lit(0), F.col(idx) - (k - 1)), F.col(idx))).alias("_at"), prob.alias("_p"))
-    means = spread.groupBy(*keys, "_at").agg(F.sum("_p").alias("_sum"), F.count(F.lit(1)).alias("_have")).where(F.col("_have") == k)
-    flags = means.withColumn("_on", F.col("_sum") / k >= threshold)
-    runs = numbered(flags, keys, F.floor(F.col("_at") / slice_rows), ["_at"], F.col("_on")).where("_on")
-    runs = runs.groupBy(*keys, "run").agg(F.min("_at").alias("start_idx"), F.max("_at").alias("_last")).join(last, keys)
-    end = F.when(F.col("_last") == F.col("_len") - k, F.col("_len")).otherwise(F.col("_last") + k)
-    return runs.select(*keys, F.col("start_idx").cast("bigint").alias("start_idx"), end.cast("bigint").alias("end_idx"))
+    most = max(k for k, *_ in rules.values())
+    d = df.select(*keys, F.col(idx).cast("bigint").alias("_at"), prob.alias("_p"), *(F.coalesce(c, F.lit(False)).alias(f"_for{s}") for s, (*_, c) in rules.items() if c is not None))
+    at = F.floor(F.col("_at") / slice_rows)
+    last = d.groupBy(*keys).agg((F.max("_at") + 1).alias("_len"))
+    d = d.withColumn("_slice", F.explode(F.when((F.col("_at") % slice_rows < most - 1) & (at > 0), F.array(at - 1, at)).otherwise(F.array(at))))
+    own = Window.partitionBy(*keys, "_slice").orderBy("_at")
+    on = []
+    for step, (k, threshold, only) in rules.items():
+        ahead = own.rowsBetween(0, k - 1)
+        flag = (F.count(F.lit(1)).over(ahead) == k) & (F.sum("_p").over(ahead) / k >= threshold)
+        d = d.withColumn(f"_on{step}", flag if only is None else flag & F.col(f"_for{step}"))
+        on.append(F.when(F.col(f"_on{step}"), F.lit(step)))
+    flags = d.where(F.floor(F.col("_at") / slice_rows) == F.col("_slice")).select(*keys, "_slice", "_at", F.explode(F.array_compact(F.array(*on))).alias("step"))
+    g = flags.withColumn("_g", F.col("_at") - F.row_number().over(Window.partitionBy(*keys, "_slice", "step").orderBy("_at")))
+    runs = g.groupBy(*keys, "_slice", "step", "_g").agg(F.min("_at").alias("_a"), F.max("_at").alias("_b"))
+    edge = (F.col("_a") == F.col("_slice") * slice_rows) | (F.col("_b") == (F.col("_slice") + 1) * slice_rows - 1)
+    across = Window.partitionBy(*keys, "step").orderBy("_a")
+    e = runs.where(edge).withColumn("_new", F.coalesce((F.col("_a") > F.lag("_b").over(across) + 1).cast("int"), F.lit(1)))
+    e = e.withColumn("_g", F.sum("_new").over(across)).groupBy(*keys, "step", "_g").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"))
+    runs = runs.where(~edge).select(*keys, "step", "_a", "_b").unionByName(e.select(*keys, "step", "_a", "_b")).join(last, keys)
+    width = F.create_map(*(F.lit(x) for step, (k, *_) in rules.items() for x in (step, k)))[F.col("step")]
+    end = F.when(F.col("_b") == F.col("_len") - width, F.col("_len")).otherwise(F.col("_b") + width)
+    return runs.select(*keys, "step", F.col("_a").alias("start_idx"), end.cast("bigint").alias("end_idx"))
+
+
+def silences(df: DataFrame, keys: list[str], idx: str, prob: Column, k: int, threshold: float, slice_rows: int = 65_536) -> DataFrame:
+    """keys, start_idx, end_idx of the silent stretches by one rule."""
+    return silent_runs(df, keys, idx, prob, {0: (k, threshold, None)}, slice_rows).drop("step")
 
 
 def silence_ladder(df: DataFrame, keys: list[str], idx: str, prob: Column, k: int, targets: str) -> DataFrame:
     """Silent stretches by the first of three rules that finds any in a sequence; the last two only for over 200 targets."""
-    tried = [(k, 0.9), (k, max(0.05, 1 - 0.09 * k)), *([(3, 0.9)] if k > 3 else [])]
-    parts = None
-    for step, (width, threshold) in enumerate(tried):
-        rows = df if step == 0 else df.where(F.col(targets) > 200)
-        part = silent_runs(rows, keys, idx, prob, width, threshold).withColumn("step", F.lit(step))
-        parts = part if parts is None else parts.unionByName(part)
+    many = F.col(targets) > 200
+    rules = {0: (k, 0.9, None), 1: (k, max(0.05, 1 - 0.09 * k), many)} | ({2: (3, 0.9, many)} if k > 3 else {})
+    parts = silent_runs(df, keys, idx, prob, rules)
     best = parts.groupBy(*keys).agg(F.min("step").alias("step"))
-    return parts.join(best, [*keys, "step"], "left_semi")
+    return parts.join(best, [*keys, "step"], "left_semi").select(*keys, "start_idx", "end_idx", "step")

@@ -206,7 +206,7 @@ def _quiet(spark, d):
 
 @query
 def silence_runs(spark, d):
-    return islands.silent_runs(_quiet(spark, d), ["user_id"], "idx", F.col("p"), 5, 0.5)
+    return islands.silences(_quiet(spark, d), ["user_id"], "idx", F.col("p"), 5, 0.5)
 
 
 @query
@@ -455,7 +455,7 @@ def silence_match(spark, d):
 
     A user's recording is stood in for by the events and its text by that of a segment: user 0 has the first one's, and so on.
     """
-    quiet = islands.silent_runs(_quiet(spark, d), ["user_id"], "idx", F.col("p"), 5, 0.5)
+    quiet = islands.silences(_quiet(spark, d), ["user_id"], "idx", F.col("p"), 5, 0.5)
     n = _events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     t = _texts(spark, d).select((F.col("seg_uid") - 1).alias("user_id"), F.transform(text.words_alpha(F.col("text")), lambda x: x == text.SIL).alias("pauses")).join(n, "user_id")
     return decoding.match_silences(t, quiet, ["user_id"], "pauses", F.col("n"))
