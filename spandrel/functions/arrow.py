@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +22,14 @@ def ship(spark: SparkSession) -> None:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if os.path.isdir(root):  # else it came to this process in the same way
-        path = os.path.join(tempfile.mkdtemp(prefix="spandrel-"), "spandrel.zip")
+        folder = tempfile.mkdtemp(prefix="spandrel-")
+        atexit.register(shutil.rmtree, folder, True)
+        path = os.path.join(folder, "spandrel.zip")
         with zipfile.ZipFile(path, "w") as z:
-            for folder, _, files in sorted(os.walk(root)):
+            for at, _, files in sorted(os.walk(root)):
                 for f in sorted(files):
                     if f.endswith(".py"):
-                        full = os.path.join(folder, f)
+                        full = os.path.join(at, f)
                         z.write(full, os.path.relpath(full, os.path.dirname(root)))
         context.addPyFile(path)
     context._spandrel_shipped = True

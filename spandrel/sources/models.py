@@ -53,6 +53,14 @@ def onnx_model(path: str, outputs: dict[str, str] | str = "phoneme_logits", samp
     return predict
 
 
+def difference(model: Model, other: Model, windows: np.ndarray) -> float:
+    """The largest absolute difference of two models' values over all heads, as between a network and its export."""
+    a, b = ({CLASSES: x} if not isinstance(x, dict) else x for x in (model(windows), other(windows)))
+    if set(a) != set(b):
+        raise ValueError(f"different heads: {sorted(a)} and {sorted(b)}")
+    return max(float(np.abs(np.asarray(a[h]) - np.asarray(b[h])).max()) for h in a)
+
+
 def padded_windows(x: np.ndarray, window: int, stride: int) -> np.ndarray:
     """Windows that cover all samples, the last one filled up with zeros."""
     count = 1 + max(0, -(-(len(x) - window) // stride))

@@ -157,3 +157,25 @@ def test_stitching_equals_overlap_add(spark):
     long = {(r.t, r.cls): r.value for r in frames.overlap_added(df, ["k"], "w", F.col("f"), 10).collect()}
     short = frames.stitched(scores)
     assert len(long) == short.size and all(short[t, c] == pytest.approx(v, abs=1e-9) for (t, c), v in long.items())
+
+
+def tiny_network(path):
+    """A network file with one node that hands its input on, byte by byte."""
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    number = lambda field, n: varint(field << 3) + varint(n)
+    part = lambda field, body: varint(field << 3 | 2) + varint(len(body)) + body
+    shape = part(2, part(1, part(2, b"n")) + part(1, part(2, b"f")) + part(1, part(2, b"c")))
+    value = lambda name: part(1, name) + part(2, part(1, number(1, 1) + shape))
+    node = part(1, b"audio_window") + part(2, b"phoneme_logits") + part(4, b"Identity")
+    graph = part(1, node) + part(2, b"g") + part(11, value(b"audio_window")) + part(12, value(b"phoneme_logits"))
+    path.write_bytes(number(1, 8) + part(7, graph) + part(8, part(1, b"") + number(2, 13)))
+
+
+def test_exported_network(tmp_path):
+    tiny_network(tmp_path / "m.onnx")
+    x = np.random.default_rng(5).normal(size=(3, 10, 4)).astype(np.float32)
+    model = models.onnx_model(str(tmp_path / "m.onnx"))
+    assert (model(x) == x).all()
+    assert models.difference(model, models.onnx_model(str(tmp_path / "m.onnx"), {"classes": "phoneme_logits"}), x) == 0.0
+    with pytest.raises(ValueError, match="heads"):
+        models.difference(model, lambda w: {"other": w}, x)

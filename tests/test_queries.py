@@ -5,6 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as e
+from spandrel.plans import problems
+from spandrel.plans.catalogue_sql import SQL
 
 D = "/root/testdata/sf0.001"
 
@@ -19,8 +21,7 @@ def test_entry(spark):
 def test_queries_equal_sql():
     import selfcheck
 
-    light = "p1_found p1_periods greedy_decode_runs viterbi_path overlap_add label_runs_rle hop_windows silence_runs coverage_sets missing_gap_fill word_rollup raster_gap_contract tokenise compound_split preset_resolve".split()
-    assert selfcheck.main(D, *light) == 0
+    assert selfcheck.main(D, *(SQL | problems.oracle_sql())) == 0
 
 
 def _json(v):
