@@ -7,8 +7,9 @@ letters are of mixed scripts, those of the other scripts are replaced by their l
 result is taken when it is in the vocabulary.
 
 A label of one letter, or wholly of another script, has no mixed scripts, but looks the same as a
-vocabulary entry just as well.  So, beyond the named method, a label that the first step doesn't
-repair has all its look-alikes replaced, again only when the result is in the vocabulary.
+vocabulary entry just as well.  So, beyond the named method, a label that this doesn't repair has all
+its look-alikes replaced, again only when the result is in the vocabulary.  The table of look-alikes is
+a parameter; the default is made for phonetic labels in Latin letters.
 
 Defined results: null labels, labels of the vocabulary itself and labels with visible additions
 (stress, tone, aspiration) are no cases; repeated rows are cases each; an empty vocabulary or table
@@ -30,10 +31,10 @@ from spandrel.functions.arrow import batch, combined, map_arrow
 
 #: Characters and the vocabulary characters they look like, by the latter.
 LOOK_ALIKES = {
-    "a": "аａ", "æ": "ӕ", "ɑ": "α⍺", "b": "ЬƄ", "β": "ꞵß", "ç": "ҫ", "d": "ԁ", "e": "е℮", "ə": "әǝ", "ɛ": "εԑ",
-    "ɡ": "gց", "ɣ": "γ", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօᴏ", "ɔ": "ↄᴐͻ", "p": "рρ",
-    "r": "г", "s": "ѕꜱ", "ʃ": "∫ꭍ", "θ": "ѳϑ", "u": "սυᴜ", "v": "ѵνᴠ", "ʌ": "ᴧ", "w": "ԝѡᴡա", "x": "х×", "y": "уү",
-    "z": "ᴢ", "ʒ": "ӡȝ", "ː": ":꞉：∶˸׃", "̃": "͂", "̧": "̡",
+    "a": "аａ", "æ": "ӕ", "ɑ": "α⍺ⲁ", "b": "ЬƄ", "β": "ꞵßϐⲃ", "ç": "ҫ", "d": "ԁ", "e": "е℮", "ə": "әǝ", "ɛ": "εԑⲉ",
+    "ɡ": "gց", "ɣ": "γ", "h": "һհ", "i": "іıιꭵ", "j": "јϳ", "l": "ӏǀᛁ", "n": "ո", "o": "оοօᴏⲟ", "ɔ": "ↄᴐͻ", "p": "рρϱⲣ",
+    "r": "гꮁ", "s": "ѕꜱꮪ", "ʃ": "∫ꭍ", "θ": "ѳϑⲑ", "u": "սυᴜ", "v": "ѵνᴠꮩ", "ʌ": "ᴧ", "w": "ԝѡᴡաꮃ", "x": "х×ⲭ", "y": "уүⲩ",
+    "z": "ᴢꮓ", "ʒ": "ӡȝꝫⳍჳ", "ː": ":꞉：∶˸׃։܃܄᛬⁚ꓽ", "̃": "͂", "̧": "̡",
     "S": "ЅՏ", "I": "ІΙӀ", "L": "Ꮮ", "ts": "ʦ", "tʃ": "ʧ", "dʒ": "ʤ",
 }
 #: What shows nothing besides the format characters (category Cf).
@@ -68,24 +69,24 @@ def dominant_script(label: str) -> tuple[str, bool]:
     return best, len(counts) > 1
 
 
-def replaced(label: str, keep: str | None = None) -> str:
+def replaced(label: str, keep: str | None = None, one: dict[int, str] = _ONE) -> str:
     """The label with look-alikes in place of all characters, or of those not in the script to keep."""
     parts = unicodedata.normalize("NFD", label)
-    return unicodedata.normalize("NFC", "".join(c if keep and script(c) == keep else _ONE.get(ord(c), c) for c in parts))
+    return unicodedata.normalize("NFC", "".join(c if keep and script(c) == keep else one.get(ord(c), c) for c in parts))
 
 
-def repaired(label: str, vocabulary: dict[str, str]) -> str | None:
+def repaired(label: str, vocabulary: dict[str, str], one: dict[int, str] = _ONE) -> str | None:
     """The vocabulary entry that a label looks the same as; vocabulary: composed form -> entry."""
     p = plain(label)
     if p in vocabulary:
         return vocabulary[p]
     dominant, mixed = dominant_script(p)
-    if mixed and (form := vocabulary.get(replaced(p, dominant))) is not None:
+    if mixed and (form := vocabulary.get(replaced(p, dominant, one))) is not None:
         return form
-    return vocabulary.get(replaced(p))
+    return vocabulary.get(replaced(p, None, one))
 
 
-def repair(df: DataFrame, keys: list[str], label: str, vocabulary: DataFrame) -> DataFrame:
+def repair(df: DataFrame, keys: list[str], label: str, vocabulary: DataFrame, look_alikes: dict[str, str] = LOOK_ALIKES) -> DataFrame:
     """keys, label, form: rows whose label isn't a value of the one-column vocabulary but looks the same as one.
 
     Labels that are in the vocabulary, nearly all, are left out by a filter inside the JVM.
@@ -94,10 +95,11 @@ def repair(df: DataFrame, keys: list[str], label: str, vocabulary: DataFrame) ->
     if len(values) > MOST_TERMS:
         raise ValueError("the vocabulary is too large to broadcast")
     known = {unicodedata.normalize("NFC", v): v for v in sorted(values)}
-    shared = df.sparkSession.sparkContext.broadcast(known)
+    one = {ord(c): to for to, chars in look_alikes.items() for c in chars}
+    shared = df.sparkSession.sparkContext.broadcast((known, one))
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        terms, seen = shared.value, {}
+        (terms, one), seen = shared.value, {}
         for b in batches:
             coded = combined(b.column(len(keys))).dictionary_encode()
             forms = []
@@ -105,7 +107,7 @@ def repair(df: DataFrame, keys: list[str], label: str, vocabulary: DataFrame) ->
                 if v not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
-                    seen[v] = repaired(v, terms)
+                    seen[v] = repaired(v, terms, one)
                 forms.append(seen[v])
             t = pa.Table.from_arrays([*b.columns, pa.array(forms, pa.string()).take(coded.indices)], schema=schema)
             yield from t.filter(t.column(len(keys) + 1).is_valid()).combine_chunks().to_batches()
