@@ -167,7 +167,7 @@ r AS (SELECT clip_id, ingested_us, {_PRESETS} AS model, CASE WHEN l = 'en-us' TH
 SELECT clip_id, ingested_us, model, lang, CASE lang WHEN 'zh-CN' THEN 'cmn' WHEN 'fr' THEN 'fr-fr' WHEN 'en' THEN 'en-us' WHEN 'uk' THEN 'zle' WHEN 'sv-SE' THEN 'sv' WHEN 'ga-IE' THEN 'ga' WHEN 'cv' THEN 'cu' ELSE lang END AS tokeniser FROM r""",
     "chop_codes": """
 WITH c AS (SELECT seg_uid, floor(start_s * 16000)::BIGINT AS a, floor(end_s * 16000)::BIGINT AS b FROM segments
-  WHERE start_s IS NOT NULL AND end_s IS NOT NULL AND NOT isnan(start_s) AND NOT isnan(end_s) AND abs(start_s) < 1e6 AND abs(end_s) < 1e6)
+  WHERE start_s IS NOT NULL AND end_s IS NOT NULL AND NOT isnan(start_s) AND NOT isnan(end_s) AND isfinite(start_s) AND isfinite(end_s))
 SELECT seg_uid, CASE WHEN b - a < 800 THEN -1 WHEN least(b, 480000) - a < 800 THEN -2 ELSE 0 END AS code FROM c""",
     "id_lookup_default": "SELECT row_id, coalesce(a.phoneme_label, 'UNK_' || p.phoneme_id) AS label, coalesce(a.group_id, 16) AS group_id FROM phoneme_ts p LEFT JOIN alphabet a USING (phoneme_id)",
     "ipa_by_position": f"WITH {_LATEST} SELECT row_id, coalesce(CASE WHEN target_seq_idx >= 0 THEN s.ipa[target_seq_idx + 1] END, 'overflow') AS ipa FROM phoneme_ts p JOIN s USING (clip_id, seg_idx)",

@@ -6,12 +6,14 @@ no trained model is at hand.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 from spandrel.functions.arrow import batch, map_arrow, parts
 from spandrel.operators import frames
@@ -37,14 +39,18 @@ def stand_in_model(classes: int = 67, per_window: int = 10, groups: int = 0, dim
 
 
 def onnx_model(path: str, outputs: dict[str, str] | str = "phoneme_logits", sample_input: str = "audio_window") -> Model:
-    """An exported network, loaded once in each worker; outputs: a name, or the names by head."""
+    """An exported network, loaded once in each worker; outputs: a name, or the names by head.
+
+    Where the path isn't on a worker's disk, the file that ``sent`` sent there is taken.
+    """
     state: dict = {}
 
     def predict(windows: np.ndarray) -> np.ndarray | dict[str, np.ndarray]:
         if "session" not in state:
             import onnxruntime
 
-            state["session"] = onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
+            at = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+            state["session"] = onnxruntime.InferenceSession(at, providers=["CPUExecutionProvider"])
         given = {sample_input: windows.astype(np.float32)}
         if isinstance(outputs, str):
             return state["session"].run([outputs], given)[0]
@@ -53,6 +59,12 @@ def onnx_model(path: str, outputs: dict[str, str] | str = "phoneme_logits", samp
     return predict
 
 
+def sent(spark: SparkSession, path: str) -> str:
+    """Sends a network's file, of any folder that Spark reads, to all workers; its path for ``onnx_model``."""
+    spark.sparkContext.addFile(path)
+    return path
+
+
 def difference(model: Model, other: Model, windows: np.ndarray) -> float:
     """The largest absolute difference of two models' values over all heads, as between a network and its export."""
     a, b = ({CLASSES: x} if not isinstance(x, dict) else x for x in (model(windows), other(windows)))

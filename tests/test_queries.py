@@ -110,3 +110,21 @@ def test_too_large_an_alphabet_is_refused(spark, tmp_path):
     spark.createDataFrame([("a",)], "ipa_label string").write.parquet(f"{tmp_path}/phoneme_ts.parquet")
     with pytest.raises(ValueError, match="more than 10000"):
         catalogue.collapse_labels(spark, str(tmp_path))
+
+
+@pytest.mark.skipif(not os.path.exists(D), reason="no test data")
+def test_texts_are_aligned_in_order(spark):
+    from collections import defaultdict
+
+    from pyspark.sql import functions as F
+
+    rows = defaultdict(list)
+    for r in e.queries()["forced_align_texts"](spark, D).where("error IS NULL").collect():
+        rows[r.clip_id, r.seg_idx].append(r)
+    n = {(r.clip_id, r.seg_idx): r.n for r in spark.read.parquet(f"{D}/segments.parquet").groupBy("clip_id", "seg_idx").agg(F.max_by(F.size("ph66"), F.struct("loaded_at", "seg_uid")).alias("n")).collect()}
+    assert len(rows) > 50
+    for key, own in rows.items():
+        own.sort(key=lambda r: r.pos)
+        assert all(0 <= r.target_idx < n[key] and r.start_frame < r.end_frame for r in own)
+        assert all(a.start_frame <= b.start_frame for a, b in zip(own, own[1:]))
+        assert len({r.target_idx for r in own}) == len(own)
