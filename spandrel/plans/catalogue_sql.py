@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spandrel.operators.text import ENDERS, PAUSES, _class
+from spandrel.sources.models import GRAPHEMES
 
 _FRAMES = """
 f0 AS (SELECT vec_id, vec_id // 50 AS seg, vec_id % 50 AS t, label AS own, embedding, list_transform(embedding, lambda x: 20 * x::DOUBLE) AS l FROM embeddings),
@@ -316,3 +317,22 @@ SQL["large_windows"] = "SELECT vec_id, w::INT AS w, round(embedding[w * 5 + 1]::
 SQL["alignment_totals"] = f"""
 SELECT count(DISTINCT struct_pack(c := clip_id, s := seg_idx)) FILTER (clip_id IS NOT NULL AND seg_idx IS NOT NULL) AS segments, 0::BIGINT AS failed, count(*) AS phonemes,
   sum(is_estimated::INT)::BIGINT AS estimated, round(avg(confidence), 5) AS confidence, round(avg(end_ms - start_ms), 4) AS ms FROM phoneme_ts WHERE {_V} AND confidence BETWEEN 0 AND 1"""
+
+_PHONE_OF = "MAP {" + ", ".join(f"'{g}': '{p}'" for g, p in GRAPHEMES.items()) + "}"
+_PAIRS = "|".join(g for g in GRAPHEMES if len(g) == 2)
+SQL["pronounce"] = f"""
+WITH {_TOKENS}, w AS (SELECT seg_uid, pos AS word_idx, token AS word, CASE WHEN token = '<SIL>' THEN ['SIL']
+  ELSE list_transform(regexp_extract_all(lower(token), '{_PAIRS}|.'), lambda g: coalesce({_PHONE_OF}[g], 'noise')) END AS p FROM toks)
+SELECT seg_uid, word_idx, word, unnest(range(len(p)))::INT AS phone_idx, unnest(p) AS phone FROM w"""
+SQL["textgrid_text"] = f"""
+WITH r AS (
+  SELECT clip_id, seg_idx, 1 AS tier_no, 'phonemes' AS tier, row_id AS k, start_ms / 1000 AS xmin, end_ms / 1000 AS xmax, phoneme_label AS text FROM phoneme_ts WHERE {_V} AND phoneme_label IS NOT NULL
+  UNION ALL SELECT clip_id, seg_idx, 2, 'words', run, start_ms / 1000, end_ms / 1000, word::VARCHAR FROM ({SQL["word_rollup"]})),
+t AS (SELECT clip_id, seg_idx, tier_no, tier, max(xmax) AS top, list(struct_pack(a := xmin, b := xmax, t := text) ORDER BY xmin, k, xmax, text) AS x FROM r GROUP BY 1, 2, 3, 4),
+m AS (SELECT *, max(top) OVER (PARTITION BY clip_id, seg_idx) AS whole FROM t),
+b AS (SELECT clip_id, seg_idx, tier_no, whole,
+  '        class = "IntervalTier"' || chr(10) || '        name = "' || tier || '"' || chr(10) || '        xmin = 0' || chr(10) || printf('        xmax = %.6f', whole) || chr(10) || '        intervals: size = ' || len(x) || chr(10)
+  || array_to_string(list_transform(x, lambda v, i: '        intervals [' || i || ']:' || chr(10) || printf('            xmin = %.6f', v.a) || chr(10) || printf('            xmax = %.6f', v.b) || chr(10) || '            text = "' || replace(v.t, '"', '""') || '"' || chr(10)), '') AS body FROM m),
+g AS (SELECT clip_id, seg_idx, max(whole) AS whole, list(body ORDER BY tier_no) AS y FROM b GROUP BY 1, 2)
+SELECT clip_id, seg_idx, 'File type = "ooTextFile"' || chr(10) || 'Object class = "TextGrid"' || chr(10) || chr(10) || 'xmin = 0' || chr(10) || printf('xmax = %.6f', whole) || chr(10) || 'tiers? <exists>' || chr(10) || 'size = ' || len(y) || chr(10) || 'item []:' || chr(10)
+  || array_to_string(list_transform(y, lambda v, i: '    item [' || i || ']:' || chr(10) || v), '') AS grid FROM g"""
