@@ -86,8 +86,45 @@ m AS (
 """
 
 
+def _read(v: str) -> str:
+    """A JSON value, or what it says if it is a text that is itself an array or object."""
+    said = f"json_extract_string({v}, '$')"
+    return f"CASE WHEN json_type({v}) = 'VARCHAR' AND regexp_matches({said}, '^\\s*[\\[{{]') AND json_valid({said}) THEN json({said}) ELSE {v} END"
+
+
+def _elements(v: str) -> str:
+    """The elements of a JSON array, of a single value, or none of null."""
+    return f"json_each(CASE WHEN json_type({v}) = 'ARRAY' THEN {v} WHEN json_type({v}) = 'NULL' OR json_extract_string({v}, '$') = 'null' THEN '[]'::JSON ELSE json_array({v}) END)"
+
+
+_IN_FRONT = "".join(f"\\x{{{ord(c):X}}}" for c in nested.IN_FRONT)
+#: A walk down to every key 'segments', then to the four lists of each segment.
+_NESTED = f"""
+WITH RECURSIVE p AS (SELECT record_id, regexp_replace(payload, '^[{_IN_FRONT}]+', '') AS t FROM vs_records),
+ok AS (SELECT record_id, json(t) AS v FROM p WHERE json_valid(t)),
+rec(record_id, ord, key, v) AS (
+  SELECT record_id, []::BIGINT[], '', {_read("v")} FROM ok UNION ALL
+  SELECT record_id, list_append(ord, e.id::BIGINT), e.key, {_read("e.value")}
+  FROM rec, json_each(CASE WHEN json_type(v) IN ('ARRAY', 'OBJECT') AND rec.key <> 'segments' THEN v ELSE '[]'::JSON END) e),
+seg AS (
+  SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY ord, e.id) - 1 AS seg_pos, {_read("e.value")} AS s
+  FROM (SELECT record_id, ord, v FROM rec WHERE key = 'segments') r, {_elements("r.v")} e),
+cov AS (SELECT *, {_read("json_extract(s, '$.coverage_analysis')")} AS c FROM seg WHERE json_type(s) = 'OBJECT'),
+lists AS (
+  SELECT record_id, seg_pos, 'phoneme_ts' AS child, json_extract(s, '$.phoneme_ts') AS v FROM cov
+  UNION ALL SELECT record_id, seg_pos, 'words', json_extract(s, '$.words') FROM cov
+  UNION ALL SELECT record_id, seg_pos, 'missing_phonemes', json_extract(c, '$.missing_phonemes') FROM cov
+  UNION ALL SELECT record_id, seg_pos, 'extra_phonemes', json_extract(c, '$.extra_phonemes') FROM cov),
+said AS (SELECT record_id, seg_pos, child, {_read("v")} AS v FROM lists WHERE v IS NOT NULL),
+el AS (SELECT record_id, seg_pos, child, e.key::INT AS child_pos, {_read("e.value")} AS x FROM said, {_elements("said.v")} e)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": _NESTED
+        + """SELECT record_id, seg_pos::INT AS seg_pos, child, child_pos, CASE WHEN child = 'phoneme_ts' THEN json_extract_string(x, '$.phoneme_label') ELSE json_extract_string(x, '$') END AS item
+FROM el WHERE json_type(x) <> 'NULL'""",
         "p1_found": _INTERVALS + "SELECT clip_id, seg_idx, before AS gap_start_us, s AS gap_end_us FROM m WHERE s - before >= 1000",
         "p1_periods": _INTERVALS
         + """, o AS (SELECT *, CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END AS opens FROM m),
