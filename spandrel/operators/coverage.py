@@ -65,6 +65,8 @@ def longest_per_target(rows: DataFrame, keys: list[str], start: Column, end: Col
 def estimated(wanted: DataFrame, found: DataFrame) -> DataFrame:
     """Start and end of each missing target, spread evenly between its neighbours.
 
+    A window holds one segment's targets, which come from one array in one row.
+
     found: clip_id, seg_idx, target_idx, start, end, once for each target.  Leading gaps end at the
     first found target and have one unit for each; trailing ones start at the last; segments without
     any found target start at 0.

@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Presets by model class, in order of precedence.
-ENGLISH = "en-us en en-gb en-029 en-gb-x-gbclan en-gb-x-rp en-gb-scotland en-gb-x-gbcwmd".split()
+ENGLISH = ("en-us", "en", "en-gb", "en-029", "en-gb-x-gbclan", "en-gb-x-rp", "en-gb-scotland", "en-gb-x-gbcwmd")
 EUROPEAN = (
-    "de fr fr-be fr-ch es es-419 it pt pt-br pl nl da sv nb is cs sk sl hr bs sr mk bg ro hu et lv lt ca an pap ht af lb ga gd cy"
-).split()
+    "de", "fr", "fr-be", "fr-ch", "es", "es-419", "it", "pt", "pt-br", "pl", "nl", "da", "sv", "nb", "is", "cs", "sk", "sl", "hr", "bs", "sr", "mk", "bg", "ro", "hu",
+    "et", "lv", "lt", "ca", "an", "pap", "ht", "af", "lb", "ga", "gd", "cy",
+)
 DEFAULT_LANG = "en-us"
 
 
